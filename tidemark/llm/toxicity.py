@@ -204,10 +204,10 @@ class UnitScorer:
         return [max((self.high[w] for w in units & self.high.keys()), default=float(self.model.weights[-1])) for units in found]
 
 
-def linear_svm(x: np.ndarray, y: np.ndarray, cost: float = 1.0, steps: int = 60) -> np.ndarray:
-    """Weights and, last, the bias of a squared-hinge support vector machine (classes weigh the same), by Newton's method."""
+def linear_svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float = 1e4, steps: int = 60) -> np.ndarray:
+    """Weights and, last, the bias of a squared-hinge support vector machine (classes weigh the same in total), by Newton's method."""
     a, sign = np.c_[x, np.ones(len(x))], np.where(y == 1, 1.0, -1.0)
-    share = np.where(y == 1, cost / max(np.sum(y == 1), 1), cost / max(np.sum(y == 0), 1)) * 1e4
+    share = cost * weight / np.where(y == 1, weight[y == 1].sum(), weight[y == 0].sum())
     w, ridge = np.zeros(a.shape[1]), np.eye(a.shape[1])
     ridge[-1, -1] = 1e-6
     for _ in range(steps):
@@ -278,7 +278,9 @@ def fit_toxicity(
     hardest = values[np.argsort(-values.max(axis=1), kind="stable")[:2000]] if len(rows) else values
     positive = strong + [d for m in marks for d in distort(m) if len(d) <= LONGEST]
     x = np.r_[model.features(positive), hardest, np.zeros((max(50, len(positive) // 4), len(marks)))]  # what most clean units are
-    model.weights = linear_svm(x @ model.whitener, np.r_[np.ones(len(positive)), np.zeros(len(x) - len(positive))])
+    y = np.r_[np.ones(len(positive)), np.zeros(len(x) - len(positive))]
+    seen = np.arange(len(x)) < len(strong)  # units as they stand in the texts outweigh the made-up copies
+    model.weights = linear_svm(x @ model.whitener, y, np.where(seen, 20.0, 1.0))
     every = sorted(set().union(*[s for _, s in whole]))
     value = dict(zip(every, model.decide(every).tolist(), strict=True))
     highest = np.array([max((value[u] for u in s), default=float(model.weights[-1])) for _, s in whole])
