@@ -7,7 +7,7 @@ short windows inside a full window only the one with the smallest hash counts, w
 wherever the passage stands, so no repeat is missed and few short windows travel.
 
 Hashes are polynomial prefix sums over words, so every window of every level costs a few array operations
-a word. The last level compares 128 bits.
+a word. The last level compares 96 bits.
 """
 
 from __future__ import annotations
@@ -103,12 +103,12 @@ def ascii_words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "replace").split()
 
 
-def candidates(docs: DataFrame, alive: DataFrame | None, lower: int | None, length: int, window: int) -> DataFrame:
-    """(k1, k2, id): each document's distinct keys of one level, where the level below repeats (if there is one).
+def candidates(docs: DataFrame, alive: DataFrame | None, lower: int | None, length: int, window: int, part: str = "shared") -> DataFrame:
+    """(k1, k2, id): each document's distinct keys of one level, where the level below is in `part` of `alive` (if there is one).
 
-    Below the last level a key is a sampled short window's hash (k2 is 0), at the last a full window's.
+    Below the last level a key is a sampled short window's hash (k2 is 0), at the last 96 bits of a full window's.
     """
-    rows = docs if alive is None else docs.join(alive, "id", "left")
+    rows = docs if alive is None else docs.join(alive, "id", "left").select("id", "text", F.col(part).alias("keys"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -123,26 +123,31 @@ def candidates(docs: DataFrame, alive: DataFrame | None, lower: int | None, leng
                     continue
                 k1 = w.hashes(window) if length == window else w.signature(length, window)
                 k2 = w.hashes(window, 1) if length == window else np.zeros(len(k1), np.uint64)
+                k2 = (k2 >> np.uint64(32)).astype(np.uint32)
                 if lower:
                     stay = np.isin(w.signature(lower, window), keys[i].values.to_numpy(zero_copy_only=False).view(np.uint64))
                     k1, k2 = k1[stay], k2[stay]
                 k1, first = np.unique(k1, return_index=True)
                 if len(k1):
-                    out.append((k1.view(np.int64), k2[first].view(np.int64), np.full(len(k1), ids[i].as_py(), np.int64)))
+                    out.append((k1.view(np.int64), k2[first].view(np.int32), np.full(len(k1), ids[i].as_py(), np.int64)))
                 if sum(len(x[0]) for x in out[-64:]) > 200_000 or len(out) >= 512:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["k1", "k2", "id"])
                     out = []
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["k1", "k2", "id"])
 
-    return rows.mapInArrow(run, "k1 long, k2 long, id long")
+    return rows.mapInArrow(run, "k1 long, k2 int, id long")
 
 
-def repeated(keys: DataFrame, covered: bool) -> DataFrame:
-    """(id, keys): the document's keys that other documents have too (`covered`: that one of smaller id has)."""
-    ends = keys.groupBy("k1", "k2").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high")
-    found = keys.join(ends, ["k1", "k2"])
-    return (found.where("low < id") if covered else found).groupBy("id").agg(F.collect_list("k1").alias("keys"))
+def repeated(every: DataFrame, later: DataFrame) -> DataFrame:
+    """(id, shared, copied): which of its keys in `later` another document has too, and which one of smaller id.
+
+    `every` has all documents' keys. Ends are pre-aggregated and joined back, so a passage that stands in a
+    large share of the documents is not gathered in one place.
+    """
+    ends = every.groupBy("k1", "k2").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high")
+    found = later.join(ends, ["k1", "k2"])
+    return found.groupBy("id").agg(F.collect_list("k1").alias("shared"), F.collect_list(F.when(F.col("low") < F.col("id"), F.col("k1"))).alias("copied"))
 
 
 def remove_repeats(docs: DataFrame, window: int = 50, first: int = 25) -> DataFrame:
@@ -159,7 +164,10 @@ def remove_repeats(docs: DataFrame, window: int = 50, first: int = 25) -> DataFr
     steps = levels(window, first)
     alive, lower = None, None
     for length in steps:
-        alive = repeated(candidates(own, alive, lower, length, window), covered=length == window)
+        every = candidates(own, alive, lower, length, window)
+        # a full window that repeats one of a smaller id has short windows that do
+        later = candidates(own, alive, lower, length, window, "copied") if length == window else every
+        alive = repeated(every, later)
         lower = length
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,4 +197,4 @@ def remove_repeats(docs: DataFrame, window: int = 50, first: int = 25) -> DataFr
                     spans.append(runs)
                 yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string()), pa.array(spans, kind)], names)
 
-    return own.join(alive, "id", "left").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_text string, spans array<struct<start: int, end: int>>")
+    return own.join(alive, "id", "left").select("id", "text", F.col("copied").alias("keys")).mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_text string, spans array<struct<start: int, end: int>>")
