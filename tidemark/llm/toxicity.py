@@ -8,7 +8,8 @@ Labelled sentences yield the landmarks (units that stand out in toxic documents)
 nearest to a landmark first). A unit's kernel values at the landmarks, whitened by the landmarks' own
 kernel matrix, go into the machine; a document's score is a logistic curve over its highest unit.
 
-Kernel values below `floor` count as 0. Whether a unit can reach the floor is decided by an exact bound
+Kernel values are raised to a power, which is a kernel again and parts an insult from words that hold most
+of it, and those below `floor` count as 0. Whether a unit can reach the floor is decided by an exact bound
 over the letters it shares with a landmark, so the kernel is worked out for few units.
 """
 
@@ -107,6 +108,7 @@ class ToxicityModel:
     order: int
     decay: float
     floor: float
+    power: int
     whitener: np.ndarray
     weights: np.ndarray
     curve: tuple[float, float]
@@ -143,7 +145,7 @@ class ToxicityModel:
         return tuple(np.concatenate(c) for c in zip(*found, strict=True))
 
     def kernels(self, words: list[str], at_once: int = 8192) -> tuple[np.ndarray, np.ndarray]:
-        """Places of the words that reach the floor at some landmark, and their normalised kernel with each, 0 below the floor."""
+        """Places of the words that reach the floor at some landmark, and their normalised kernel with each, raised to `power` and 0 below the floor."""
         word, mark = self.near(words)
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         order = np.lexsort((mark, word, sizes[word]))
@@ -157,7 +159,7 @@ class ToxicityModel:
         reach = value >= self.floor
         rows, index = np.unique(word[reach], return_inverse=True)
         out = np.zeros((len(rows), len(self.landmarks)))
-        out[index, mark[reach]] = value[reach]
+        out[index, mark[reach]] = value[reach] ** self.power
         return rows, out
 
     def features(self, words: list[str]) -> np.ndarray:
@@ -228,10 +230,20 @@ def stand_outs(toxic: list[set[str]], clean: list[set[str]], least: int, share:
     need = max(least, share * len(toxic))
     ratio = (len(clean) + 1) / (len(toxic) + 1)
     odds = {u: n * math.log((n + 0.1) * ratio / (neg[u] + 0.1)) for u, n in pos.items() if n >= need and n * ratio >= 12 * neg[u]}
-    return sorted((u for u in odds if odds[u] >= 22), key=lambda u: (-odds[u], u))[:most]
-
-
-def spread(units: list[str], order: int, decay: float, most: int, close: float = 0.7) -> list[str]:
+    ranked = sorted((u for u in odds if odds[u] >= 22), key=lambda u: (-odds[u], u))
+    held = np.array([[u in s for s in toxic] for u in ranked[: 8 * most]], np.float32).reshape(-1, len(toxic))
+    within = held @ held.T >= 0.9 * held.sum(axis=1, keepdims=True)
+    chosen, told = [], np.zeros(len(toxic), bool)
+    for i, u in enumerate(ranked[: 8 * most]):
+        # the other words of a toxic text's copies stand out too, all in the same documents: they tell nothing new
+        new = np.sum(held[i].astype(bool) & ~told) >= max(1, 0.001 * len(toxic))
+        if len(chosen) < most and (new or within[i].sum() <= 2):
+            chosen.append(u)
+            told |= held[i].astype(bool)
+    return chosen
+
+
+def spread(units: list[str], order: int, decay: float, most: int, close: float = 0.5) -> list[str]:
     """The strongest units, without those whose kernel with a chosen one is `close` or more."""
     if not units:
         return []
@@ -255,7 +267,7 @@ def distort(word: str) -> list[str]:
 
 
 def fit_toxicity(
-    rows: list[tuple[int, str, int]], counts: tuple[int, int], order: int = 3, decay: float = 0.6, floor: float = 0.5, landmarks: int = 48, most: int = 300, least: int = 3, share: float = 0.01
+    rows: list[tuple[int, str, int]], counts: tuple[int, int], order: int = 3, decay: float = 0.6, floor: float = 0.5, power: int = 2, landmarks: int = 64, most: int = 300, least: int = 3, share: float = 0.01
 ) -> ToxicityModel:
     """From labelled texts: landmarks, machine, and a curve whose intercept suits the class shares in `counts`.
 
@@ -266,10 +278,10 @@ def fit_toxicity(
     strong = [u for u in stand_outs([s for y, s in whole if y], [s for y, s in whole if not y], least, share, most) if len(u) <= LONGEST]
     marks = spread(strong, order, decay, landmarks)
     labels = np.array([y for y, _ in whole], float)
-    blank = ToxicityModel([], order, decay, floor, np.zeros((0, 0)), np.zeros(1), (0.0, float(np.log((counts[1] + 1) / (counts[0] + 1)))))
+    blank = ToxicityModel([], order, decay, floor, power, np.zeros((0, 0)), np.zeros(1), (0.0, float(np.log((counts[1] + 1) / (counts[0] + 1)))))
     if not marks or not 0 < labels.sum() < len(labels):
         return blank
-    model = ToxicityModel(marks, order, decay, floor, np.eye(len(marks)), np.zeros(len(marks) + 1), (1.0, 0.0))
+    model = ToxicityModel(marks, order, decay, floor, power, np.eye(len(marks)), np.zeros(len(marks) + 1), (1.0, 0.0))
     values, vectors = np.linalg.eigh(model.features(marks))
     model.whitener = vectors / np.sqrt(np.maximum(values, 1e-3)) @ vectors.T
     clean = sorted(set().union(*[s for y, lines in sentences if not y for s in lines]) - set(strong))
@@ -277,10 +289,14 @@ def fit_toxicity(
     rows, values = model.kernels(clean) if clean else ([], np.zeros((0, len(marks))))
     hardest = values[np.argsort(-values.max(axis=1), kind="stable")[:2000]] if len(rows) else values
     positive = strong + [d for m in marks for d in distort(m) if len(d) <= LONGEST]
-    x = np.r_[model.features(positive), hardest, np.zeros((max(50, len(positive) // 4), len(marks)))]  # what most clean units are
+    x = np.r_[model.features(positive), hardest, np.zeros((1, len(marks)))]  # the last is what most clean units are
     y = np.r_[np.ones(len(positive)), np.zeros(len(x) - len(positive))]
     seen = np.arange(len(x)) < len(strong)  # units as they stand in the texts outweigh the made-up copies
-    model.weights = linear_svm(x @ model.whitener, y, np.where(seen, 20.0, 1.0))
+    tell = (x != 0).any(axis=1) | (y == 0)  # a copy that no landmark sees says nothing
+    x, y, seen = x[tell], y[tell], seen[tell]
+    weight = np.where(seen, 20.0, 1.0)
+    weight[-1] = 1 + len(hardest)
+    model.weights = linear_svm(x @ model.whitener, y, weight)
     every = sorted(set().union(*[s for _, s in whole]))
     value = dict(zip(every, model.decide(every).tolist(), strict=True))
     highest = np.array([max((value[u] for u in s), default=float(model.weights[-1])) for _, s in whole])
