@@ -294,14 +294,16 @@ def fit_toxicity(
     seen = np.arange(len(x)) < len(strong)  # units as they stand in the texts outweigh the made-up copies
     tell = (x != 0).any(axis=1) | (y == 0)  # a copy that no landmark sees says nothing
     x, y, seen = x[tell], y[tell], seen[tell]
-    weight = np.where(seen, 20.0, 1.0)
+    weight = np.where(seen, 5.0, 1.0)
     weight[-1] = 1 + len(hardest)
     model.weights = linear_svm(x @ model.whitener, y, weight)
     every = sorted(set().union(*[s for _, s in whole]))
     value = dict(zip(every, model.decide(every).tolist(), strict=True))
     highest = np.array([max((value[u] for u in s), default=float(model.weights[-1])) for _, s in whole])
-    w = fit_logistic(highest, labels, ridge=1e-4)
-    model.curve = (float(w[0]), float(w[1]) + prior_shift(counts, labels))
+    copies = model.decide([d for m in marks for d in distort(m)[:: max(1, len(m) // 2)]])  # documents whose insult has a letter put in
+    y = np.r_[labels, np.ones(len(copies))]
+    w = fit_logistic(np.r_[highest, copies], y, ridge=1e-4)
+    model.curve = (float(w[0]), float(w[1]) + prior_shift(counts, y))
     return model
 
 
