@@ -11,6 +11,7 @@ from .decontaminate import find_contamination
 from .langid import identify_languages
 from .packing import pack_documents
 from .quality_classifier import classify_quality
+from .quality_rules import judge_lines
 from .simhash import near_duplicates
 from .substring_dedup import remove_repeats
 from .toxicity import classify_toxicity
@@ -31,6 +32,11 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = judge_lines(table(spark, sf_dir, "documents"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
