@@ -14,6 +14,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
@@ -97,6 +98,19 @@ def score_quality(docs: DataFrame, model: CompressionModel) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, size_difference double, score double")
 
 
+def quality_score(model: CompressionModel):
+    """A column function: the score of a text column."""
+
+    @F.pandas_udf("double")
+    def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        good, bad = model.compressors()
+        for t in texts:
+            x = np.array([model.measure(v, good, bad) for v in t], float).reshape(-1, 2)
+            yield pd.Series(model.score(x))
+
+    return score
+
+
 def train_quality(docs: DataFrame, labels: DataFrame, modulus: int = 3, held_out: int = 1, per_class: int = 3000, max_chars: int = 8000) -> CompressionModel:
     """Fits on at most 2 * `per_class` labelled rows of at most `max_chars` characters, none from the held-out fold."""
     return fit_compression_model(*labelled_sample(docs, labels, "quality", modulus, held_out, per_class, max_chars))

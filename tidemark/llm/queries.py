@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .decontaminate import find_contamination
 from .langid import identify_languages
 from .packing import pack_documents
+from .pii import protect
 from .quality_classifier import classify_quality
 from .quality_rules import judge_lines
 from .simhash import near_duplicates
@@ -45,6 +46,10 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return protect(table(spark, sf_dir, "documents"))
+
+
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
