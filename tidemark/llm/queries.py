@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .decontaminate import find_contamination
 from .langid import identify_languages
+from .license_scan import scan_licenses
 from .packing import pack_documents
 from .pii import protect
 from .quality_classifier import classify_quality
@@ -46,6 +47,10 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return protect(table(spark, sf_dir, "documents"))
 
