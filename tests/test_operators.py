@@ -1,0 +1,86 @@
+"""Operators on small hand-made frames."""
+
+import math
+from datetime import datetime, timedelta
+
+import pytest
+from pyspark.sql import functions as F
+
+from tidemark.functions.tails import student_tail
+from tidemark.operators.align import active_on_grid, asof_join, grid_reindex, runs
+from tidemark.operators.greedy import cool_down, space_out
+from tidemark.operators.testing import bh_adjust
+
+T0 = datetime(2024, 1, 1)
+
+
+def at(minutes):
+    return T0 + timedelta(minutes=minutes)
+
+
+def test_asof_keeps_rows_and_takes_null_values(spark):
+    left = spark.createDataFrame([("a", at(0), 1), ("a", at(7), 2), ("b", at(7), 3)], "symbol string, ts timestamp_ntz, id int")
+    right = spark.createDataFrame([("a", at(5), 1.5), ("a", at(6), None), ("c", at(1), 9.0)], "symbol string, ts timestamp_ntz, v double")
+    got = {r.id: (r.v, r.matched_ts) for r in asof_join(left, right, ["symbol"]).collect()}
+    assert got == {1: (None, None), 2: (None, at(6)), 3: (None, None)}
+    got = {r.id: r.matched_ts for r in asof_join(left, right, ["symbol"], tolerance=F.expr("interval 30 seconds")).collect()}
+    assert got == {1: None, 2: None, 3: None}
+
+
+def test_asof_forward_and_strict(spark):
+    left = spark.createDataFrame([("a", at(5), 1)], "symbol string, ts timestamp_ntz, id int")
+    right = spark.createDataFrame([("a", at(5), 1.0), ("a", at(9), 2.0)], "symbol string, ts timestamp_ntz, v double")
+    assert asof_join(left, right, ["symbol"], forward=True).first().v == 1.0
+    assert asof_join(left, right, ["symbol"], forward=True, strict=True).first().v == 2.0
+    assert asof_join(left, right.limit(0), ["symbol"]).first().v is None
+
+
+def test_grid_and_runs(spark):
+    df = spark.createDataFrame([("a", at(0), 1.0), ("a", at(15), 2.0)], "symbol string, ts timestamp_ntz, close double")
+    grid = grid_reindex(df, ["symbol"], "5 minutes")
+    assert [r.run_length for r in runs(grid, F.col("close").isNull(), ["symbol"]).orderBy("ts").collect()] == [1, 2, 2, 1]
+
+
+def test_active_bounds_are_inclusive(spark):
+    grid = spark.createDataFrame([("a", at(m)) for m in range(0, 30, 5)], "symbol string, ts timestamp_ntz")
+    spans = spark.createDataFrame([("a", at(5), at(15)), ("a", at(10), at(15))], "symbol string, enter_ts timestamp_ntz, exit_ts timestamp_ntz")
+    assert [r.active for r in active_on_grid(grid, spans, ["symbol"]).orderBy("ts").collect()] == [False, True, True, True, False, False]
+
+
+@pytest.mark.parametrize("gap", [1, 3, 7])
+def test_spacing_is_the_sequential_rule(spark, gap):
+    hits = [(k, (i * i * 7 + k * 3) % 97) for k in range(3) for i in range(20)]
+    hits = sorted(set(hits))
+    want = []
+    for k in range(3):
+        last = None
+        for i in sorted(i for s, i in hits if s == k):
+            if last is None or i - last >= gap:
+                want.append((k, i))
+                last = i
+    df = spark.createDataFrame(hits, "symbol int, bar long").repartition(5)
+    assert sorted(map(tuple, space_out(df, ["symbol"], "bar", gap).collect())) == want
+
+
+def test_cooldown_is_the_sequential_rule(spark):
+    spans = [("a", i, i + (i * 5) % 9) for i in range(0, 100, 2)]
+    want, reach = [], -1
+    for s, a, b in spans:
+        if a > reach:
+            want.append((s, a, b))
+            reach = b + 4
+    df = spark.createDataFrame(spans, "symbol string, bar long, leave long")
+    assert sorted(map(tuple, cool_down(df, ["symbol"], "bar", "leave", 4).collect())) == want
+
+
+def test_bh(spark):
+    p = [0.01, 0.04, 0.03, 0.005, 0.1, 0.002]
+    q = {r.p: r.q for r in bh_adjust(spark.createDataFrame([(x,) for x in p], "p double"), "p", "q", []).collect()}
+    assert sum(v <= 0.05 for v in q.values()) == 5
+    assert q[0.002] == pytest.approx(0.012) and q[0.01] == pytest.approx(0.02) and q[0.1] == pytest.approx(0.1)
+
+
+def test_student_tail():
+    assert student_tail(0, 5) == pytest.approx(0.5)
+    assert student_tail(2.015, 5) == pytest.approx(0.05, abs=1e-4)
+    assert student_tail(1.96, 1e7) == pytest.approx(0.5 * math.erfc(1.96 / math.sqrt(2)), abs=1e-5)
