@@ -7,6 +7,7 @@ import math
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def student_tail(t: float, df: float) -> float:
@@ -34,16 +35,16 @@ def student_tail(t: float, df: float) -> float:
     return 0.5 * (1 - part if flip else part)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def normal_cdf(x: pd.Series) -> pd.Series:
     return x.map(lambda v: 0.5 * math.erfc(-v / math.sqrt(2)), na_action="ignore").astype(float)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def normal_two_sided(t: pd.Series) -> pd.Series:
     return t.map(lambda v: math.erfc(abs(v) / math.sqrt(2)), na_action="ignore").astype(float)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def student_two_sided(t: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series([np.nan if pd.isna(a) or pd.isna(b) else 2 * student_tail(a, b) for a, b in zip(t, df, strict=True)])

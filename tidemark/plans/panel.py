@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.frames import clip, ordered, pct_rank, quantile, ratio, rolling, zscore
 from ..operators.align import grid_reindex
 
-W = ordered()
+W = ordered
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,54 +75,53 @@ def lagged(x: str, n: int) -> str:
     return f"lag({x}, {n}) OVER (PARTITION BY symbol ORDER BY ts)"
 
 
-#: Features in order of dependence; each as a Column and as SQL over the columns before it.
-LEVELS: list[dict[str, tuple[Column, str]]] = [
+#: Features in order of dependence; each as a function that makes the Column and as SQL over the columns before it.
+LEVELS: list[dict[str, tuple[Callable[[], Column], str]]] = [
     {
-        "ret_1": (ratio(F.col("close"), F.lag("close", 1).over(W)) - 1, f"close / nullif({lagged('close', 1)}, 0) - 1"),
-        "ret_12": (ratio(F.col("close"), F.lag("close", 12).over(W)) - 1, f"close / nullif({lagged('close', 12)}, 0) - 1"),
-        "trend": (ratio(F.col("close"), F.lag("close", 24).over(W)) - 1, f"close / nullif({lagged('close', 24)}, 0) - 1"),
-        "logret": (F.log(F.col("close")) - F.log(F.lag("close", 1).over(W)), f"ln(close) - ln({lagged('close', 1)})"),
-        "bar_range": (ratio(F.col("high") - F.col("low"), F.col("close")), "(high - low) / nullif(close, 0)"),
-        "wick": (ratio(F.abs(F.col("high") - F.col("close")) + F.abs(F.col("close") - F.col("low")), F.col("close")), "(abs(high - close) + abs(close - low)) / nullif(close, 0)"),
-        "basis": (ratio(F.col("venue_a"), F.col("venue_b")) - 1, "venue_a / nullif(venue_b, 0) - 1"),
-        "funding": ((ratio(F.col("buy_volume"), F.col("volume")) - F.lit(0.33)) * F.lit(0.001), "(buy_volume / nullif(volume, 0) - 0.33) * 0.001"),
-        "oi": (rolling(F.col("volume"), F.sum, 48, 1), roll("sum", "volume", 48, 1)),
-        "high_24": (rolling(F.col("high"), F.max, 24, 18), roll("max", "high", 24, 18)),
-        "low_24": (rolling(F.col("low"), F.min, 24, 18), roll("min", "low", 24, 18)),
-        "vol_med": (rolling(F.col("quote_volume"), quantile(0.5), 48, 24), roll("quantile_cont(?, 0.5)", "quote_volume", 48, 24)),
-        "vpin": (ratio(rolling(F.abs(2 * F.col("buy_volume") - F.col("volume")), F.sum, 24), rolling(F.col("volume"), F.sum, 24)), f"{roll('sum', 'abs(2 * buy_volume - volume)', 24, 24)} / nullif({roll('sum', 'volume', 24, 24)}, 0)"),
+        "ret_1": (lambda: ratio(F.col("close"), F.lag("close", 1).over(W())) - 1, f"close / nullif({lagged('close', 1)}, 0) - 1"),
+        "ret_12": (lambda: ratio(F.col("close"), F.lag("close", 12).over(W())) - 1, f"close / nullif({lagged('close', 12)}, 0) - 1"),
+        "trend": (lambda: ratio(F.col("close"), F.lag("close", 24).over(W())) - 1, f"close / nullif({lagged('close', 24)}, 0) - 1"),
+        "logret": (lambda: F.log(F.col("close")) - F.log(F.lag("close", 1).over(W())), f"ln(close) - ln({lagged('close', 1)})"),
+        "bar_range": (lambda: ratio(F.col("high") - F.col("low"), F.col("close")), "(high - low) / nullif(close, 0)"),
+        "wick": (lambda: ratio(F.abs(F.col("high") - F.col("close")) + F.abs(F.col("close") - F.col("low")), F.col("close")), "(abs(high - close) + abs(close - low)) / nullif(close, 0)"),
+        "basis": (lambda: ratio(F.col("venue_a"), F.col("venue_b")) - 1, "venue_a / nullif(venue_b, 0) - 1"),
+        "funding": (lambda: (ratio(F.col("buy_volume"), F.col("volume")) - F.lit(0.33)) * F.lit(0.001), "(buy_volume / nullif(volume, 0) - 0.33) * 0.001"),
+        "oi": (lambda: rolling(F.col("volume"), F.sum, 48, 1), roll("sum", "volume", 48, 1)),
+        "high_24": (lambda: rolling(F.col("high"), F.max, 24, 18), roll("max", "high", 24, 18)),
+        "low_24": (lambda: rolling(F.col("low"), F.min, 24, 18), roll("min", "low", 24, 18)),
+        "vol_med": (lambda: rolling(F.col("quote_volume"), quantile(0.5), 48, 24), roll("quantile_cont(?, 0.5)", "quote_volume", 48, 24)),
+        "vpin": (lambda: ratio(rolling(F.abs(2 * F.col("buy_volume") - F.col("volume")), F.sum, 24), rolling(F.col("volume"), F.sum, 24)), f"{roll('sum', 'abs(2 * buy_volume - volume)', 24, 24)} / nullif({roll('sum', 'volume', 24, 24)}, 0)"),
     },
     {
-        "abs_ret": (F.abs("ret_1"), "abs(ret_1)"),
-        "abs_trend": (F.abs("trend"), "abs(trend)"),
-        "rv": (rolling(F.col("logret"), F.stddev_samp, 24, 18), roll("stddev_samp", "logret", 24, 18)),
-        "px_z": (zscore(F.col("ret_12"), 48, 24), z("ret_12", 48, 24)),
-        "spread_z": (zscore(F.col("bar_range"), 48, 24), z("bar_range", 48, 24)),
-        "basis_z": (zscore(F.col("basis"), 48, 16), z("basis", 48, 16)),
-        "oi_delta": (F.col("oi") - F.lag("oi", 12).over(W), f"oi - {lagged('oi', 12)}"),
-        "oi_logdiff": (F.log("oi") - F.log(F.lag("oi", 1).over(W)), f"ln(oi) - ln({lagged('oi', 1)})"),
-        "range_24": (ratio(F.col("high_24") - F.col("low_24"), F.col("close")), "(high_24 - low_24) / nullif(close, 0)"),
-        "amihud": (rolling(ratio(F.abs("logret"), F.col("quote_volume")), F.avg, 24, 18), roll("avg", "(abs(logret) / nullif(quote_volume, 0))", 24, 18)),
-        "dp": (F.col("close") - F.lag("close", 1).over(W), f"close - {lagged('close', 1)}"),
+        "abs_ret": (lambda: F.abs("ret_1"), "abs(ret_1)"),
+        "abs_trend": (lambda: F.abs("trend"), "abs(trend)"),
+        "rv": (lambda: rolling(F.col("logret"), F.stddev_samp, 24, 18), roll("stddev_samp", "logret", 24, 18)),
+        "px_z": (lambda: zscore(F.col("ret_12"), 48, 24), z("ret_12", 48, 24)),
+        "spread_z": (lambda: zscore(F.col("bar_range"), 48, 24), z("bar_range", 48, 24)),
+        "basis_z": (lambda: zscore(F.col("basis"), 48, 16), z("basis", 48, 16)),
+        "oi_delta": (lambda: F.col("oi") - F.lag("oi", 12).over(W()), f"oi - {lagged('oi', 12)}"),
+        "oi_logdiff": (lambda: F.log("oi") - F.log(F.lag("oi", 1).over(W())), f"ln(oi) - ln({lagged('oi', 1)})"),
+        "range_24": (lambda: ratio(F.col("high_24") - F.col("low_24"), F.col("close")), "(high_24 - low_24) / nullif(close, 0)"),
+        "amihud": (lambda: rolling(ratio(F.abs("logret"), F.col("quote_volume")), F.avg, 24, 18), roll("avg", "(abs(logret) / nullif(quote_volume, 0))", 24, 18)),
+        "dp": (lambda: F.col("close") - F.lag("close", 1).over(W()), f"close - {lagged('close', 1)}"),
     },
     {
-        "rv_z": (zscore(F.col("rv"), 72, 24), z("rv", 72, 24)),
-        "oi_z": (zscore(F.col("oi_logdiff"), 48, 24), z("oi_logdiff", 48, 24)),
-        "range_med": (rolling(F.col("range_24"), quantile(0.5), 96, 48), roll("quantile_cont(?, 0.5)", "range_24", 96, 48)),
-        "abs_spread_z": (F.abs("spread_z"), "abs(spread_z)"),
-        "abs_basis_z": (F.abs("basis_z"), "abs(basis_z)"),
-        "abs_px_z": (F.abs("px_z"), "abs(px_z)"),
-        "basis_step": (F.abs(F.col("basis_z") - F.lag("basis_z", 1).over(W)), f"abs(basis_z - {lagged('basis_z', 1)})"),
-        "dp_1": (F.lag("dp", 1).over(W), lagged("dp", 1)),
-        "trend_step": (F.col("abs_trend") - F.lag("abs_trend", 3).over(W), f"abs_trend - {lagged('abs_trend', 3)}"),
-        "abs_funding": (F.abs("funding"), "abs(funding)"),
-        "score": (clip(-F.col("px_z"), -4.0, 4.0), "CASE WHEN px_z IS NOT NULL THEN greatest(-4.0, least(4.0, -px_z)) END"),
+        "rv_z": (lambda: zscore(F.col("rv"), 72, 24), z("rv", 72, 24)),
+        "oi_z": (lambda: zscore(F.col("oi_logdiff"), 48, 24), z("oi_logdiff", 48, 24)),
+        "range_med": (lambda: rolling(F.col("range_24"), quantile(0.5), 96, 48), roll("quantile_cont(?, 0.5)", "range_24", 96, 48)),
+        "abs_spread_z": (lambda: F.abs("spread_z"), "abs(spread_z)"),
+        "abs_basis_z": (lambda: F.abs("basis_z"), "abs(basis_z)"),
+        "abs_px_z": (lambda: F.abs("px_z"), "abs(px_z)"),
+        "basis_step": (lambda: F.abs(F.col("basis_z") - F.lag("basis_z", 1).over(W())), f"abs(basis_z - {lagged('basis_z', 1)})"),
+        "dp_1": (lambda: F.lag("dp", 1).over(W()), lagged("dp", 1)),
+        "trend_step": (lambda: F.col("abs_trend") - F.lag("abs_trend", 3).over(W()), f"abs_trend - {lagged('abs_trend', 3)}"),
+        "abs_funding": (lambda: F.abs("funding"), "abs(funding)"),
+        "score": (lambda: clip(-F.col("px_z"), -4.0, 4.0), "CASE WHEN px_z IS NOT NULL THEN greatest(-4.0, least(4.0, -px_z)) END"),
     },
     {
-        "rv_step": (F.abs(F.col("rv_z") - F.lag("rv_z", 1).over(W)), f"abs(rv_z - {lagged('rv_z', 1)})"),
-        "ratio_now": (ratio(F.col("range_24"), F.col("range_med")), "range_24 / nullif(range_med, 0)"),
-        "roll_spread": (
-            2 * F.sqrt(F.greatest(F.lit(0.0), -F.when(F.count(F.col("dp") * F.col("dp_1")).over(W.rowsBetween(-23, 0)) >= 12, F.covar_samp("dp", "dp_1").over(W.rowsBetween(-23, 0))))),
+        "rv_step": (lambda: F.abs(F.col("rv_z") - F.lag("rv_z", 1).over(W())), f"abs(rv_z - {lagged('rv_z', 1)})"),
+        "ratio_now": (lambda: ratio(F.col("range_24"), F.col("range_med")), "range_24 / nullif(range_med, 0)"),
+        "roll_spread": (lambda: 2 * F.sqrt(F.greatest(F.lit(0.0), -F.when(F.count(F.col("dp") * F.col("dp_1")).over(W().rowsBetween(-23, 0)) >= 12, F.covar_samp("dp", "dp_1").over(W().rowsBetween(-23, 0))))),
             f"2 * sqrt(greatest(0.0, -CASE WHEN count(dp * dp_1) {over(24)} >= 12 THEN covar_samp(dp, dp_1) {over(24)} END))",
         ),
     },
@@ -129,7 +130,7 @@ LEVELS: list[dict[str, tuple[Column, str]]] = [
 
 def features(df: DataFrame) -> DataFrame:
     for level in LEVELS:
-        df = df.withColumns({name: column for name, (column, _) in level.items()})
+        df = df.withColumns({name: column() for name, (column, _) in level.items()})
     return df
 
 
@@ -154,7 +155,7 @@ def pq(name: str, q: float) -> str:
 
 
 def thresholds(df: DataFrame) -> DataFrame:
-    past = W.rowsBetween(-96, -1)
+    past = W().rowsBetween(-96, -1)
     enough = {x: F.when(F.count(x).over(past) >= 24, F.percentile(x, F.array(*map(F.lit, qs))).over(past)) for x, qs in THRESHOLDS.items()}
     df = df.withColumns({f"{x}_past": c for x, c in enough.items()})
     return df.withColumns({pq(x, q): F.get(f"{x}_past", i) for x, qs in THRESHOLDS.items() for i, q in enumerate(qs)})

@@ -18,7 +18,7 @@ from .detectors import HELPERS, RULES
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
-W = ordered()
+W = ordered
 
 
 def register(name: str, sql: str | None = None):
@@ -77,14 +77,14 @@ register(
 register(
     "ffill_limited",
     f"WITH {P.CLEANED_SQL} SELECT symbol, ts, last_value(close IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) AS filled FROM cleaned",
-)(lambda spark, d: P.cleaned(spark, d).select("symbol", "ts", F.last("close", ignorenulls=True).over(W.rowsBetween(-3, 0)).alias("filled")))
+)(lambda spark, d: P.cleaned(spark, d).select("symbol", "ts", F.last("close", ignorenulls=True).over(W().rowsBetween(-3, 0)).alias("filled")))
 register(
     "ffill_bfill",
     f"""WITH {P.CLEANED_SQL} SELECT symbol, ts, coalesce(last_value(venue_a IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
  first_value(venue_a IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS filled FROM (SELECT symbol, ts, {s6('venue_a')} AS venue_a FROM cleaned)""",
 )(
     lambda spark, d: P.cleaned(spark, d).withColumn("v", r6(F.col("venue_a"))).select(
-        "symbol", "ts", F.coalesce(F.last("v", ignorenulls=True).over(W.rowsBetween(Window.unboundedPreceding, 0)), F.first("v", ignorenulls=True).over(W.rowsBetween(0, Window.unboundedFollowing))).alias("filled")
+        "symbol", "ts", F.coalesce(F.last("v", ignorenulls=True).over(W().rowsBetween(Window.unboundedPreceding, 0)), F.first("v", ignorenulls=True).over(W().rowsBetween(0, Window.unboundedFollowing))).alias("filled")
     )
 )
 register(
@@ -184,7 +184,7 @@ register("broadcast_all", "SELECT e.event_id, s.symbol FROM events e CROSS JOIN
 def hits(spark: SparkSession, d: str) -> DataFrame:
     """(event_type, symbol, ts, bar) of every bar that fulfils a rule, all rules in one pass over the panel."""
     df = P.thresholds(P.features(P.cleaned(spark, d)))
-    df = df.withColumns({n: F.expr(t) for n, t in HELPERS.items()}).withColumn("bar", F.row_number().over(W).cast("long"))
+    df = df.withColumns({n: F.expr(t) for n, t in HELPERS.items()}).withColumn("bar", F.row_number().over(W()).cast("long"))
     found = F.array_compact(F.array(*[F.when(F.expr(rule), F.struct(F.lit(n).alias("event_type"), F.lit(gap).alias("gap"))) for n, (rule, gap) in RULES.items()]))
     return df.select("symbol", "ts", "bar", F.explode(found).alias("e")).select("e.event_type", "e.gap", "symbol", "ts", "bar")
 
@@ -213,7 +213,7 @@ register(
 SELECT symbol, bar, leave FROM kept""",
 )(
     lambda spark, d: cool_down(
-        P.cleaned(spark, d).withColumn("bar", F.row_number().over(W).cast("long")).where("close > 250").select("symbol", "bar", (F.col("bar") + 1 + F.col("volume").cast("long") % 4).alias("leave")), ["symbol"], "bar", "leave", 4
+        P.cleaned(spark, d).withColumn("bar", F.row_number().over(W()).cast("long")).where("close > 250").select("symbol", "bar", (F.col("bar") + 1 + F.col("volume").cast("long") % 4).alias("leave")), ["symbol"], "bar", "leave", 4
     )
 )
 register(
@@ -226,13 +226,13 @@ SELECT symbol, min(ts) AS first_ts, count(*) AS n FROM g WHERE flag GROUP BY sym
 register(
     "onset",
     f"WITH {P.CLEANED_SQL} SELECT symbol, ts FROM (SELECT symbol, ts, coalesce(close > 200, FALSE) AS c, coalesce(lag(close > 200) OVER (PARTITION BY symbol ORDER BY ts), FALSE) AS p FROM cleaned) WHERE c AND NOT p",
-)(lambda spark, d: P.cleaned(spark, d).withColumns({"c": F.coalesce(F.col("close") > 200, F.lit(False)), "p": F.coalesce(F.lag(F.col("close") > 200).over(W), F.lit(False))}).where("c AND NOT p").select("symbol", "ts"))
+)(lambda spark, d: P.cleaned(spark, d).withColumns({"c": F.coalesce(F.col("close") > 200, F.lit(False)), "p": F.coalesce(F.lag(F.col("close") > 200).over(W()), F.lit(False))}).where("c AND NOT p").select("symbol", "ts"))
 register(
     "first_hit",
     f"""WITH {P.CLEANED_SQL}, b AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS bar FROM cleaned)
 SELECT symbol, ts, min(CASE WHEN close > 300 THEN bar END) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 1 FOLLOWING AND 24 FOLLOWING) - bar AS bars_to_hit FROM b""",
 )(
-    lambda spark, d: P.cleaned(spark, d).withColumn("bar", F.row_number().over(W).cast("long")).select("symbol", "ts", (F.min(F.when(F.col("close") > 300, F.col("bar"))).over(W.rowsBetween(1, 24)) - F.col("bar")).alias("bars_to_hit"))
+    lambda spark, d: P.cleaned(spark, d).withColumn("bar", F.row_number().over(W()).cast("long")).select("symbol", "ts", (F.min(F.when(F.col("close") > 300, F.col("bar"))).over(W().rowsBetween(1, 24)) - F.col("bar")).alias("bars_to_hit"))
 )
 
 
@@ -242,7 +242,7 @@ SELECT symbol, ts, min(CASE WHEN close > 300 THEN bar END) OVER (PARTITION BY sy
 def labelled(spark: SparkSession, d: str) -> DataFrame:
     """Detected events with their lagged forward return over three bars."""
     b = P.cleaned(spark, d)
-    fwd = b.select("symbol", "ts", (F.lead("close", 4).over(W) / F.nullif(F.lead("close", 1).over(W), F.lit(0.0)) - 1).alias("fwd"))
+    fwd = b.select("symbol", "ts", (F.lead("close", 4).over(W()) / F.nullif(F.lead("close", 1).over(W()), F.lit(0.0)) - 1).alias("fwd"))
     return detect(spark, d).join(fwd, ["symbol", "ts"])
 
 
@@ -300,13 +300,13 @@ register(
     "ess_autocorr",
     f"WITH {P.features_sql()}, l AS (SELECT symbol, ret_1 AS x, {', '.join(f'lag(ret_1, {k}) OVER (PARTITION BY symbol ORDER BY ts) AS x{k}' for k in (1, 2, 3))} FROM feat WHERE ret_1 IS NOT NULL) SELECT symbol, count(*) AS n, {s6('count(*) / (1 + 2 * (corr(x, x1) + corr(x, x2) + corr(x, x3)))')} AS ess FROM l GROUP BY symbol",
 )(
-    lambda spark, d: P.features(P.cleaned(spark, d)).where("ret_1 is not null").select("symbol", F.col("ret_1").alias("x"), *[F.lag("ret_1", k).over(W).alias(f"x{k}") for k in (1, 2, 3)]).groupBy("symbol").agg(F.count("*").alias("n"), r6(F.count("*") / (1 + 2 * sum((F.corr("x", f"x{k}") for k in (1, 2, 3)), F.lit(0.0)))).alias("ess"))
+    lambda spark, d: P.features(P.cleaned(spark, d)).where("ret_1 is not null").select("symbol", F.col("ret_1").alias("x"), *[F.lag("ret_1", k).over(W()).alias(f"x{k}") for k in (1, 2, 3)]).groupBy("symbol").agg(F.count("*").alias("n"), r6(F.count("*") / (1 + 2 * sum((F.corr("x", f"x{k}") for k in (1, 2, 3)), F.lit(0.0)))).alias("ess"))
 )
 register(
     "cum_pnl_drawdown",
     f"WITH {P.features_sql()}, c AS (SELECT symbol, ts, sum(coalesce(score * ret_1, 0)) OVER (PARTITION BY symbol ORDER BY ts ROWS UNBOUNDED PRECEDING) AS cum FROM feat) SELECT symbol, ts, {s6('cum')} AS cum_pnl, {s6('cum - max(cum) OVER (PARTITION BY symbol ORDER BY ts ROWS UNBOUNDED PRECEDING)')} AS drawdown FROM c",
 )(
-    lambda spark, d: P.features(P.cleaned(spark, d)).withColumn("cum", F.sum(F.coalesce(F.col("score") * F.col("ret_1"), F.lit(0.0))).over(W.rowsBetween(Window.unboundedPreceding, 0))).select("symbol", "ts", r6(F.col("cum")).alias("cum_pnl"), r6(F.col("cum") - F.max("cum").over(W.rowsBetween(Window.unboundedPreceding, 0))).alias("drawdown"))
+    lambda spark, d: P.features(P.cleaned(spark, d)).withColumn("cum", F.sum(F.coalesce(F.col("score") * F.col("ret_1"), F.lit(0.0))).over(W().rowsBetween(Window.unboundedPreceding, 0))).select("symbol", "ts", r6(F.col("cum")).alias("cum_pnl"), r6(F.col("cum") - F.max("cum").over(W().rowsBetween(Window.unboundedPreceding, 0))).alias("drawdown"))
 )
 register(
     "cross_section",
