@@ -15,10 +15,10 @@ def space_out(hits: DataFrame, by: list[str], index: str, gap: int | str) -> Dat
 
     `gap` is a number or the name of a column that is constant within a key. Indices are unique within a key.
     """
-    apart = F.col(gap) if isinstance(gap, str) else F.lit(gap)
+    own = hits.select(*by, index, (F.col(gap) if isinstance(gap, str) else F.lit(gap)).alias("_gap"))
     order = Window.partitionBy(*by).orderBy(index)
-    free = F.coalesce(F.col(index) - F.lag(index).over(order) >= apart, F.lit(True)).cast("int")
-    islands = hits.select(*by, index, apart.alias("_gap")).withColumn("_island", F.sum(free).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    free = F.coalesce(F.col(index) - F.lag(index).over(order) >= F.col("_gap"), F.lit(True)).cast("int")
+    islands = own.withColumn("_island", F.sum(free).over(order.rowsBetween(Window.unboundedPreceding, 0)))
     start = F.array().cast("array<bigint>")
     kept = islands.groupBy(*by, "_island", "_gap").agg(
         F.aggregate(
