@@ -231,7 +231,9 @@ def stand_outs(toxic: list[set[str]], clean: list[set[str]], least: int, share:
     ratio = (len(clean) + 1) / (len(toxic) + 1)
     odds = {u: n * math.log((n + 0.1) * ratio / (neg[u] + 0.1)) for u, n in pos.items() if n >= need and n * ratio >= 12 * neg[u]}
     ranked = sorted((u for u in odds if odds[u] >= 22), key=lambda u: (-odds[u], u))
-    held = np.array([[u in s for s in toxic] for u in ranked[: 8 * most]], np.float32).reshape(-1, len(toxic))
+    if not ranked:
+        return []
+    held = np.array([[u in s for s in toxic] for u in ranked[: 8 * most]], np.float32)
     within = held @ held.T >= 0.9 * held.sum(axis=1, keepdims=True)
     chosen, told = [], np.zeros(len(toxic), bool)
     for i, u in enumerate(ranked[: 8 * most]):
