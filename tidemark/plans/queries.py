@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -11,7 +12,10 @@ from ..functions.frames import ordered, pct_rank
 from ..functions.tails import normal_two_sided
 from ..operators.align import active_on_grid, asof_join, keep_one, repeated_keys, runs
 from ..operators.greedy import cool_down, space_out
+from ..operators.pooling import newey_west, pool, profit_parts, static_cost
 from ..operators.testing import bh_adjust, simes
+from ..sources.readers import parse_klines
+from ..streaming.streams import event_stream, stream_bars
 from . import panel as P
 from .detectors import HELPERS, RULES
 
@@ -342,6 +346,96 @@ register("topk_rank", "SELECT o_custkey, o_orderkey, k FROM (SELECT o_custkey, o
 )
 
 
+# --- pooling, costs, profit ---------------------------------------------------------------------------
+
+_CAND = "cand AS (SELECT l_returnflag AS family, l_linestatus AS state, l_suppkey % 20 AS unit, count(*) AS n, avg(l_discount) AS effect, stddev_samp(l_discount) AS sd FROM lineitem GROUP BY 1, 2, 3)"
+
+
+def _pooled_sql() -> str:
+    """The same two levels spelled out: family over state, state over unit."""
+    return f"""WITH {_CAND}, a AS (SELECT *, sum(n) OVER f AS nf, sum(n * effect) OVER f / sum(n) OVER f AS mf, sum((n - 1) * sd * sd) OVER f / greatest(sum(n - 1) OVER f, 1) AS wf,
+ sum(n) OVER s AS ns, sum(n * effect) OVER s / sum(n) OVER s AS ms, sum((n - 1) * sd * sd) OVER s / greatest(sum(n - 1) OVER s, 1) AS ws, count(*) OVER s AS ks FROM cand WINDOW f AS (PARTITION BY family), s AS (PARTITION BY family, state)),
+b AS (SELECT *, sum(n * (ms - mf) * (ms - mf)) OVER f / nf AS bf, sum(n * (effect - ms) * (effect - ms)) OVER s / ns AS bs, max(state) OVER f = min(state) OVER f AS one FROM a WINDOW f AS (PARTITION BY family), s AS (PARTITION BY family, state)),
+c AS (SELECT *, CASE WHEN nf < 200 THEN 1.0 ELSE ns / (ns + CASE WHEN one THEN 5000.0 ELSE greatest(5.0, least(5000.0, wf / greatest(bf, 1e-8))) END) END AS w1, CASE WHEN ns < 200 THEN 1.0 ELSE n / (n + CASE WHEN ks = 1 THEN 5000.0 ELSE greatest(5.0, least(5000.0, ws / greatest(bs, 1e-8))) END) END AS w2 FROM b)
+SELECT family, state, unit, n, {s6('w2')} AS weight, {s6('w2 * effect + (1 - w2) * (w1 * ms + (1 - w1) * mf)')} AS pooled FROM c"""
+
+
+@register("hierarchical_shrinkage", _pooled_sql())
+def hierarchical_shrinkage(spark: SparkSession, d: str) -> DataFrame:
+    line = P.table(spark, d, "lineitem")
+    cand = line.groupBy(F.col("l_returnflag").alias("family"), F.col("l_linestatus").alias("state"), (F.col("l_suppkey") % 20).alias("unit")).agg(F.count("*").alias("n"), F.avg("l_discount").alias("effect"), F.stddev_samp("l_discount").alias("sd"))
+    return pool(cand, [["family"], ["family", "state"]]).select("family", "state", "unit", "n", r6(F.col("weight")).alias("weight"), r6(F.col("pooled")).alias("pooled"))
+
+
+@register(
+    "pnl_components",
+    f"""WITH {P.features_sql()}, p AS (SELECT symbol, ts, is_gap, funding, ret_1, CASE WHEN px_z > 1 THEN -1.0 WHEN px_z < -1 THEN 1.0 ELSE 0.0 END AS pos FROM feat), q AS (SELECT *, coalesce(lag(pos) OVER (PARTITION BY symbol ORDER BY ts), 0.0) AS prev FROM p),
+c AS (SELECT symbol, ts, CASE WHEN is_gap THEN 0.0 ELSE coalesce(prev * ret_1, 0.0) END AS gross_pnl, CASE WHEN is_gap THEN 0.0 ELSE coalesce(abs(pos - prev) * 6.0 / 10000, 0.0) END AS trading_cost, CASE WHEN is_gap THEN 0.0 ELSE coalesce(-prev * funding, 0.0) END AS funding_pnl FROM q)
+SELECT symbol, ts, {s6('gross_pnl')} AS gross_pnl, {s6('trading_cost')} AS trading_cost, {s6('funding_pnl')} AS funding_pnl, {s6('gross_pnl - trading_cost + funding_pnl')} AS pnl FROM c""",
+)
+def pnl_components(spark: SparkSession, d: str) -> DataFrame:
+    df = P.features(P.cleaned(spark, d)).withColumn("pos", F.when(F.col("px_z") > 1, -1.0).when(F.col("px_z") < -1, 1.0).otherwise(0.0))
+    parts = profit_parts(F.col("pos"), F.col("ret_1"), F.col("is_gap"), static_cost(F.lit(4.0), F.lit(2.0)), F.col("funding"), W())
+    return df.select("symbol", "ts", *[r6(c).alias(n) for n, c in parts.items()])
+
+
+register(
+    "newey_west_t",
+    f"WITH {P.features_sql()}, r AS (SELECT symbol, ts, ret_1 AS x, ret_1 - avg(ret_1) OVER (PARTITION BY symbol) AS r FROM feat WHERE ret_1 IS NOT NULL), l AS (SELECT *, {', '.join(f'lag(r, {k}) OVER (PARTITION BY symbol ORDER BY ts) AS r{k}' for k in (1, 2, 3))} FROM r) SELECT symbol, count(x) AS n, {s6('avg(x)')} AS mean, {s6('avg(x) / sqrt(greatest(sum(r * r) / count(x) + ' + ' + '.join(f'2 * (1 - {k} / 4.0) * sum(r * r{k}) / count(x)' for k in (1, 2, 3)) + ', 1e-18) / count(x))')} AS t_hac FROM l GROUP BY symbol",
+)(lambda spark, d: newey_west(P.features(P.cleaned(spark, d)).where("ret_1 is not null"), ["symbol"], "ret_1", "ts", 3).select("symbol", "n", r6(F.col("mean")).alias("mean"), r6(F.col("t_hac")).alias("t_hac")))
+register(
+    "portfolio_agg",
+    "SELECT date_trunc('month', o_orderdate) AS month, o_orderpriority, count(*) AS n, round(sum(o_totalprice), 2) + 0.0 AS total FROM orders GROUP BY 1, 2",
+)(lambda spark, d: P.table(spark, d, "orders").groupBy(F.date_trunc("MONTH", "o_orderdate").cast("timestamp_ntz").alias("month"), "o_orderpriority").agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total")))
+register(
+    "edge_registry",
+    "SELECT sha256(l_returnflag || '|' || l_linestatus) AS edge_id, min(l_shipdate) AS first_seen, max(l_shipdate) AS last_seen, count(*) AS times, round(quantile_cont(l_discount, 0.5), 6) + 0.0 AS median_effect FROM lineitem GROUP BY l_returnflag, l_linestatus",
+)(
+    lambda spark, d: P.table(spark, d, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.min("l_shipdate").alias("first_seen"), F.max("l_shipdate").alias("last_seen"), F.count("*").alias("times"), r6(F.percentile("l_discount", F.lit(0.5))).alias("median_effect")).select(
+        F.sha2(F.concat_ws("|", "l_returnflag", "l_linestatus"), 256).alias("edge_id"), "first_seen", "last_seen", "times", "median_effect"
+    )
+)
+register(
+    "regime_metrics",
+    f"WITH {P.features_sql()} SELECT CASE WHEN rv_z > 0 THEN 'high' ELSE 'low' END AS regime, count(ret_1) AS n, {s6('sum(ret_1)')} AS total, {s6('avg(ret_1) / nullif(stddev_samp(ret_1), 0)')} AS sharpe FROM feat WHERE rv_z IS NOT NULL GROUP BY 1",
+)(
+    lambda spark, d: P.features(P.cleaned(spark, d)).where("rv_z is not null").groupBy(F.when(F.col("rv_z") > 0, "high").otherwise("low").alias("regime")).agg(F.count("ret_1").alias("n"), r6(F.sum("ret_1")).alias("total"), r6(F.avg("ret_1") / F.nullif(F.stddev_samp("ret_1"), F.lit(0.0))).alias("sharpe"))
+)
+register(
+    "split_assign",
+    "WITH b AS (SELECT min(ts) AS a, max(ts) AS z FROM events) SELECT event_id, CASE WHEN epoch_us(ts) < epoch_us(a) + (epoch_us(z) - epoch_us(a)) * 0.6 THEN 'train' WHEN epoch_us(ts) < epoch_us(a) + (epoch_us(z) - epoch_us(a)) * 0.8 THEN 'validation' ELSE 'test' END AS split_label FROM events, b",
+)(lambda spark, d: _splits(P.table(spark, d, "events")))
+
+
+def _splits(e: DataFrame) -> DataFrame:
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    ends = e.agg(F.min("ts").alias("a"), F.max("ts").alias("z"))  # one row
+    cut = lambda share: micros("a") + (micros("z") - micros("a")) * F.lit(share)
+    return e.join(F.broadcast(ends)).select("event_id", F.when(micros("ts") < cut(0.6), "train").when(micros("ts") < cut(0.8), "validation").otherwise("test").alias("split_label"))
+
+
+register(
+    "src_klines",
+    "SELECT event_type AS symbol, date_trunc('milliseconds', ts) AS ts, value AS close, CAST(user_id AS DOUBLE) AS volume FROM events WHERE value IS NOT NULL",
+)(lambda spark, d: _klines(P.table(spark, d, "events")))
+
+
+def _klines(e: DataFrame) -> DataFrame:
+    """Events written as kline text rows, read back by the parser."""
+    text = {"open_time": F.unix_millis(F.col("ts").cast("timestamp")), "volume": F.col("user_id")} | {c: F.col("value") for c in ("open", "high", "low", "close", "quote_volume", "taker_base_volume")}
+    raw = e.select("event_type", *[c.cast("string").alias(n) for n, c in text.items()])
+    return parse_klines(raw, F.col("event_type")).select("symbol", "ts", "close", "volume")
+
+
+@register("stream_bars")
+def stream_bars_closed(spark: SparkSession, d: str) -> DataFrame:
+    """The bars that a stream over the events has closed by its end."""
+    name = "bars_" + uuid.uuid4().hex
+    query = stream_bars(event_stream(spark, d)).writeStream.outputMode("append").format("memory").queryName(name).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.table(name)
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 
