@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from tidemark.plans import queries as plans
+from tidemark.plans import statistics as plans
 
 SF = "/root/testdata/sf0.001"
 TABLES = [f[:-8] for f in os.listdir(SF) if f.endswith(".parquet")]
