@@ -13,7 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .decontaminate import match_words
+from .decontaminate import NOT_WORD, lower_ascii
 
 #: Short notices by which the licences name themselves, and the opening or grant of their texts.
 TEMPLATES: list[tuple[str, str]] = [
@@ -77,11 +77,13 @@ def scan_licenses(docs: DataFrame, threshold: float = 0.8, templates: list[tuple
     least, most = min((a for a, _ in bounds), default=1), max((z for _, z in bounds), default=0)
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("mark", F.xxhash64("text"))
-    units = F.array_distinct(F.concat(F.split("text", "\n"), F.split("text", r"(?<=[.!?])\s+"), F.split("text", r"\n[\x20\t]*\n+"), F.array("text")))
-    rows = own.select("doc_id", "mark", F.explode(units).alias("unit")).select("doc_id", "mark", match_words(F.col("unit")).alias("words"))
-    rows = rows.where(F.greatest(F.size("words") - 1, F.least(F.size("words"), F.lit(1))).between(least, most))
-    rows = rows.select("doc_id", "mark", F.size("words").alias("n"), bigrams(F.col("words")).alias("pairs"))
-    size = F.greatest(F.col("n") - 1, F.lit(1))
+    low = own.select("doc_id", "mark", lower_ascii(F.col("text")).alias("low"))
+    units = F.array_distinct(F.concat(F.split("low", "\n"), F.split("low", r"(?<=[.!?])\s+"), F.split("low", r"\n[\x20\t]*\n+"), F.array("low")))
+    rows = low.select("doc_id", "mark", F.explode(units).alias("unit")).select("doc_id", "mark", F.array_remove(F.split("unit", NOT_WORD), "").alias("words"))
+    # not a filter, which would be moved below and split every unit twice
+    size = F.greatest(F.size("words") - 1, F.least(F.size("words"), F.lit(1)))
+    rows = rows.select("doc_id", "mark", size.alias("n"), F.when(size.between(least, most), bigrams(F.col("words"))).alias("pairs"))
+    size = F.col("n")
     dice = [
         F.when(size.between(a, z), F.struct(F.lit(name).alias("name"), (2.0 * F.size(F.array_intersect("pairs", F.array(*map(F.lit, b)))) / (size + len(b))).alias("dice")))
         for (name, b), (a, z) in zip(known, bounds, strict=True)
