@@ -233,6 +233,23 @@ def test_pii_keeps_formats_and_links(docs, empty, spark):
     assert sorted((str(r.doc_id), str(r.text)) for r in got) == sorted((str(i), str(t)) for i, t in TEXTS)
 
 
+def test_pii_beside_other_numbers():
+    cards = ["4111 1111 1111 1111", "4111111111111111", "5500-0000-0000-0004", "3782 822463 10005", "4222222222222", "6304 0000 0000 0000 000"]
+    for value in cards:
+        alone = pii.pseudonymise(value, b"key")[0]
+        assert alone != value
+        for around in ("card {} 12/27", "{} 123", "{} 27 items", "27 {}", "12-27 {} 123 2024", "{}-12", "no 1234 5678 {} 99"):
+            assert pii.pseudonymise(around.format(value), b"key")[0] == around.format(alone), around.format(value)
+    for value in ("ES9121000418450200051332", "ES91 2100 0418 4502 0005 1332", "GB29 NWBK 6016 1331 9268 19", "NO93 8601 1117 947", "DE89370400440532013000"):
+        alone = pii.pseudonymise(value, b"key")[0]
+        assert alone != value
+        for around in ("{} BIC", "{} 2024", "{} 2024 1234 EUR", "AB12 3456 7890 {} X", "IBAN {}."):
+            assert pii.pseudonymise(around.format(value), b"key")[0] == around.format(alone), around.format(value)
+    text = "phone +1 (724) 555-7058 2024 1234 and " + " ".join(str(y) for y in range(1990, 2030))
+    new = pii.pseudonymise(text, b"key")[0]
+    assert "555-7058" not in new and new.endswith(text[38:])
+
+
 def test_near_duplicates_by_brute_force(spark, docs, empty):
     import xxhash
 

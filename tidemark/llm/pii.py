@@ -87,11 +87,44 @@ def card(m: re.Match, key: bytes) -> str | None:
     return refill(m[0], body + luhn_digit(body))
 
 
+#: Leading digits and lengths of the payment card networks.
+ISSUERS = re.compile(
+    r"4(?:\d{12}|\d{15}|\d{18})|3[47]\d{13}|(?:30[0-5]|309|36\d|3[89]\d)\d{11,16}|35(?:2[89]|[3-8]\d)\d{12,15}|5[1-5]\d{14}"
+    r"|(?:222[1-9]|22[3-9]\d|2[3-6]\d\d|27[01]\d|2720)\d{12}|220[0-4]\d{12,15}|(?:6011|64[4-9]\d|65\d\d|62\d\d)\d{12,15}"
+    r"|(?:60|81|82)\d{14}|508\d{13}|(?:5018|5020|5038|5893|6304|6759|676[1-3])\d{9,15}"
+)
+#: How cards are printed: in one piece, in fours with a rest, or 4-6-5 and 4-6-4.
+PRINTED = re.compile(r"\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{1,4}(?:\1\d{1,3})?|\d{4}([ -])\d{6}\2\d{4,5}")
+
+
+def of_network(text: str) -> bool:
+    return ISSUERS.fullmatch(re.sub(r"\D", "", text)) is not None
+
+
+def network_card(m: re.Match, key: bytes) -> str | None:
+    return card(m, key) if PRINTED.fullmatch(m[0]) and of_network(m[0]) else None
+
+
 def iban_check(country: str, account: str) -> str:
     number = "".join(str(int(c, 36)) for c in account + country + "00")
     return f"{98 - int(number) % 97:02d}"
 
 
+#: Lengths of the countries' IBANs.
+IBAN_LENGTHS = {
+    c: int(n)
+    for n, names in (
+        x.split(":")
+        for x in (
+            "15:NO 16:BE 18:DK,FI,FK,FO,GL,NL,SD 19:MK,SI 20:AT,BA,EE,KZ,LT,LU,MN,XK 21:CH,HR,LI,LV 22:BG,BH,CR,DE,GB,GE,IE,ME,RS,VA "
+            "23:AE,GI,IL,IQ,OM,SO,TL 24:AD,CZ,ES,MD,PK,RO,SA,SE,SK,TN,VG 25:LY,PT,ST 26:IS,TR 27:BI,DJ,FR,GR,IT,MC,MR,SM "
+            "28:AL,AZ,BY,CY,DO,GT,HN,HU,LB,NI,PL,SV 29:BR,EG,PS,QA,UA 30:JO,KW,MU,YE 31:MT,SC 32:LC 33:RU"
+        ).split()
+    )
+    for c in names.split(",")
+}
+
+
 def iban(m: re.Match, key: bytes) -> str | None:
     plain = m[0].replace(" ", "")
     if not 15 <= len(plain) <= 34 or iban_check(plain[:2], plain[4:]) != plain[2:4]:
@@ -166,6 +199,7 @@ KINDS: list[tuple[str, str, Callable[[re.Match, bytes], str | None]]] = [
     ("date", r"(?<![\d.-])(\d{1,2})([-/.])(\d{1,2})\2(\d{4})(?![\d-]|\.\d)", lambda m, key: european_or_american(re.match(r"(\d{1,2})([-/.])(\d{1,2})[-/.](\d{4})", m[0]), key)),
     ("ip", r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d)", address),
     ("ssn", r"(?<![\d-])(\d{3})-(\d{2})-(\d{4})(?![\d-])", social),
+    ("card", r"(?<!\d)\d(?:[ -]?\d){12,18}(?!\d)", network_card),
     ("card", r"(?<![\d-])\d(?:[ -]?\d){12,18}(?![\d-])", card),
     ("phone", r"\+\d{1,3}[ .-]?\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){2,4}(?!\d)", phone),
     ("phone", r"(?<![\d(-])\(?\d{3}\)?[ .-]\d{3}[ .-]\d{4}(?![\d-])", phone),
@@ -178,21 +212,47 @@ HINT = re.compile(r"[@\d]|AKIA|ASIA|(?i:password|passwd|secret|token|api[_-]?key
 @lru_cache(maxsize=200_000)
 def pseudonym(index: int, text: str, key: bytes) -> str | None:
     kind, pattern, make = PATTERNS[index]
-    return make(pattern.fullmatch(text), key)
+    m = pattern.fullmatch(text)
+    return make(m, key) if m else None
+
+
+def endings(kind: str, text: str) -> list[int]:
+    """Lengths to try for what a pattern matched: an IBAN's own length, all of it, then every shorter ending before a space or hyphen."""
+    found = [len(text)] + [m.start() for m in re.finditer(r"[ -]", text)][::-1]
+    if kind == "iban" and (n := IBAN_LENGTHS.get(text[:2])):
+        own = [i for i in found if len(text[:i].replace(" ", "")) == n]
+        found = own + [i for i in found if i not in own]
+    return found
 
 
 def pseudonymise(text: str, key: bytes) -> tuple[str, list[tuple[int, int, str]]]:
-    """The text with pseudonyms, and (start, end, kind) of what was replaced, in the old text."""
+    """The text with pseudonyms, and (start, end, kind) of what was replaced, in the old text.
+
+    A pattern may match more than the value, as a number after it. So where a match gives no pseudonym or meets a span
+    already taken, its shorter endings are tried, then the search goes on inside it. Both would make many a row of
+    plain numbers a card by its check digit alone, so such a card has to be printed as cards are or be of a network.
+    """
     if not HINT.search(text):
         return text, []
     taken: list[tuple[int, int, str, str]] = []  # in order
     for index, (kind, pattern, _) in enumerate(PATTERNS):
-        for m in pattern.finditer(text):
-            at = bisect(taken, (m.start(), m.end()))
-            if (at == 0 or taken[at - 1][1] <= m.start()) and (at == len(taken) or m.end() <= taken[at][0]):
-                new = pseudonym(index, m[0], key)
+        start = failed = 0
+        while m := pattern.search(text, start):
+            a, start = m.start(), m.start() + 1
+            for n in endings(kind, m[0]):
+                b = a + n
+                at = bisect(taken, (a, b))
+                if (at and taken[at - 1][1] > a) or (at < len(taken) and b > taken[at][0]):
+                    continue
+                if kind == "card" and (a < failed or b < m.end()) and not (of_network(text[a:b]) or a >= failed and PRINTED.fullmatch(text[a:b])):
+                    continue
+                new = pseudonym(index, text[a:b], key)
                 if new is not None:
-                    taken.insert(at, (m.start(), m.end(), kind, new))
+                    taken.insert(at, (a, b, kind, new))
+                    start = b
+                    break
+            else:
+                failed = max(failed, m.end())
     out, at = [], 0
     for a, b, _, new in taken:
         out += [text[at:a], new]
