@@ -1,6 +1,7 @@
 """The dealt operators against plain Python on small, awkward tables."""
 
 import hashlib
+import pathlib
 import re
 import zlib
 from collections import Counter
@@ -9,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import langid, packing, pii, quality_classifier, simhash, toxicity
+from tidemark.llm import langid, license_scan, packing, pii, quality_classifier, simhash, toxicity
 from tidemark.llm.components import connected_components
 from tidemark.llm.decontaminate import find_contamination
 from tidemark.llm.license_scan import scan_licenses
@@ -212,6 +213,31 @@ def test_license_scan(spark):
     assert scan_licenses(rows.limit(0)).count() == 0
 
 
+def test_licence_families_and_texts(spark):
+    folder = pathlib.Path(license_scan.__file__).parent / "licenses"
+    texts = {
+        "All rights reserved.": ["Proprietary"],
+        "Copyright 2024 Acme Inc. All rights reserved.": ["Proprietary"],
+        "Licensed under the GNU General Public License, version 2": ["GPL-2.0"],
+        "Licensed under the GNU General Public License, version 3": ["GPL-3.0"],
+        "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or "
+        "(at your option) any later version.": ["LGPL-3.0"],
+        "Released under the ISC License.": ["ISC"],
+        "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.": ["CC-BY-ND-4.0"],
+        "Licensed under CC BY-NC 4.0.": ["CC-BY-NC-4.0"],
+        "Some words.\nAll rights reserved.\nMore words.\nReleased under the MIT License.": ["MIT", "Proprietary"],
+        "The licence of the software was a public matter.": [],
+    }
+    for name in ("GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "Apache-2.0", "MPL-2.0", "CC0-1.0"):
+        texts[(folder / f"{name}.txt").read_text() + "\nAdded by us, the authors of it."] = [name]
+    cut = license_scan.BSD_2.replace(" 2.", "\n2.").replace("met: ", "met:\n\n").replace("reserved. ", "reserved.\n\n")
+    texts[cut + "\n" + license_scan.BSD_3 + "\n\n" + license_scan.BSD_END] = ["BSD-3-Clause"]
+    texts[cut + "\n\n" + license_scan.BSD_END] = ["BSD-2-Clause"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.licenses for r in scan_licenses(rows).collect()}
+    assert [(t[:60], got[i]) for i, t in enumerate(texts)] == [(t[:60], want) for t, want in texts.items()]
+
+
 def test_permutations_are_one_to_one():
     for n in (2, 10, 97, 1000):
         out = [pii.permute_other(i, n, b"k", "t") for i in range(n)]
