@@ -41,3 +41,11 @@ def test_same_rows_as_sql(spark, duck, name):
 def test_entry(spark):
     assert entry.entry(spark).columns == ["event_type", "n", "mean", "sd", "t_stat"]
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_broadcast_all_takes_every_type(spark, duck, tmp_path):
+    path = str(tmp_path / "events.parquet")
+    new = "SELECT event_id, CASE event_id % 7 WHEN 0 THEN 'refund' WHEN 1 THEN NULL ELSE event_type END AS event_type FROM events"
+    duck.sql(f"COPY ({new}) TO '{path}' (FORMAT parquet)")
+    sql = plans.oracle_sql()["broadcast_all"].replace("events", f"'{path}'")
+    assert rows(plans.queries()["broadcast_all"](spark, str(tmp_path)).toPandas()) == rows(duck.sql(sql).df())

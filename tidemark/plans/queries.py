@@ -177,8 +177,15 @@ register("semi_join", "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT
 register("anti_join", "SELECT c_custkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey)")(
     lambda spark, d: P.table(spark, d, "customer").join(P.table(spark, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
 )
+
+
+def counted_broadcast(df: DataFrame, most: int = 10_000) -> DataFrame:
+    """The table, marked for broadcast if it has at most `most` rows."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 register("broadcast_all", "SELECT e.event_id, s.symbol FROM events e CROSS JOIN (SELECT DISTINCT event_type AS symbol FROM events) s WHERE e.event_type = 'signup'")(
-    lambda spark, d: P.table(spark, d, "events").where("event_type = 'signup'").select("event_id", F.explode(F.array(*[F.lit(s) for s in ("click", "error", "purchase", "signup", "view")])).alias("symbol"))
+    lambda spark, d: P.table(spark, d, "events").where("event_type = 'signup'").select("event_id").crossJoin(counted_broadcast(P.table(spark, d, "events").select(F.col("event_type").alias("symbol")).distinct()))
 )
 
 
