@@ -74,10 +74,12 @@ def test_cooldown_is_the_sequential_rule(spark):
 
 
 def test_bh(spark):
-    p = [0.01, 0.04, 0.03, 0.005, 0.1, 0.002]
-    q = {r.p: r.q for r in bh_adjust(spark.createDataFrame([(x,) for x in p], "p double"), "p", "q", []).collect()}
-    assert sum(v <= 0.05 for v in q.values()) == 5
-    assert q[0.002] == pytest.approx(0.012) and q[0.01] == pytest.approx(0.02) and q[0.1] == pytest.approx(0.1)
+    p = [0.9, 0.004, 0.02, 0.02, 0.3, 0.0001, 0.07]
+    ordered = sorted(p)
+    # the smallest p * m / rank among values that are not smaller; ties take their highest rank
+    want = {x: min(1.0, *(y * len(p) / (max(i for i, z in enumerate(ordered) if z == y) + 1) for y in p if y >= x)) for x in p}
+    got = {r.p: r.q for r in bh_adjust(spark.createDataFrame([(x,) for x in p], "p double"), "p", "q", []).collect()}
+    assert got == pytest.approx(want)
 
 
 def test_student_tail():
