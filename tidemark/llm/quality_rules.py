@@ -1,7 +1,7 @@
 """Line-first quality rules, in DataFrame functions only.
 
-Each line is judged on its own (punctuation, navigation, boilerplate, shouting, symbols, one word over and
-over); failing lines go, and a document that loses too large a share of its words is rejected. Counts over
+Each line is judged (punctuation, navigation, boilerplate, shouting, symbols, one word over and over, runs of
+menu entries); failing lines go, and a document that loses too large a share of its words is rejected. Counts over
 the whole text stand beside that. Everything happens inside a row: no shuffle, no state.
 """
 
@@ -13,9 +13,13 @@ from pyspark.sql import functions as F
 from .common import SPACE_CLASS
 
 BOILERPLATE = (
-    "all rights reserved|copyright|cookie|privacy policy|terms of (use|service)|sign in|log ?in|subscribe|"
-    "javascript|click here|read more|lorem ipsum|licen[sc]ed under|released under|this work is licen[sc]ed"
+    r"all rights reserved|copyright|\(c\) \d{4}|©|cookie|privacy policy|terms of (use|service)|sign (in|up)|log ?in|"
+    r"subscribe|javascript|click here|read more|lorem ipsum|licen[sc]ed under|released under|this work is licen[sc]ed"
 )
+#: What may end a sentence, quotes and brackets included.
+END_CLASS = r"[.!?…:;,)\]\"'»”’。！？।؟]"
+#: Signs that part the entries of a menu line, with white space on both sides.
+MENU_SIGN = r"\s[|>/»›•·]\s"
 SYMBOL_CLASS = r"[#*$%&|<>]+"
 POSITION_BITS = 28
 
@@ -25,25 +29,50 @@ def space_words(text: Column) -> Column:
     return F.coalesce(F.array_remove(F.split(text, SPACE_CLASS), ""), F.array().cast("array<string>"))
 
 
-def line_fails(line: Column, symbol_share: float = 0.15, upper_share: float = 0.6, spread: float = 0.6) -> Column:
-    """Whether a line with words breaks a rule; lines are judged by at least five words where a share is taken."""
+def boilerplate_words(line: Column) -> Column:
+    """Words in the sentences of a line that hold a boilerplate phrase."""
+    told = F.filter(F.split(line, r"(?<=[.!?])\s+"), lambda s: s.rlike(f"(?i){BOILERPLATE}"))
+    return F.size(F.array_remove(F.split(F.array_join(told, " "), SPACE_CLASS), ""))
+
+
+def line_fails(line: Column, after: Column, symbol_share: float = 0.15, upper_share: float = 0.6, spread: float = 0.6, prose: int = 10) -> Column:
+    """Whether a line with words breaks a rule; where a share is taken, lines of fewer than five words pass.
+
+    Navigation: three or more bars, or three or more other menu signs. Punctuation: a line of `prose` words or
+    more that no sentence mark ends, unless the line `after` goes on in lower case (a wrapped line); shorter ones
+    may be headings. Boilerplate: half or more of a line of at most 30 words stands in sentences with such a phrase.
+    Every pattern is a class or a fixed choice, so none recurses, however long the line.
+    """
     words = F.array_remove(F.split(line, SPACE_CLASS), "")
     n = F.size(words)
     chars = F.length(line)
     symbols = chars - F.length(F.regexp_replace(line, SYMBOL_CLASS, ""))
     letters = F.length(F.regexp_replace(line, r"[^\p{L}]+", ""))
     capitals = F.length(F.regexp_replace(line, r"[^\p{Lu}]+", ""))
-    bare = n >= 30
+    wrapped = F.coalesce(after.rlike(r"^\s*\p{Ll}"), F.lit(False))
     return (
-        line.rlike(r"(\|[^|]*){3,}")  # navigation: a row of menu entries
-        | (bare & ~line.rlike(r"[.!?…:;,]"))  # punctuation: a long line without any
-        | line.rlike(f"(?i)^[^.]*({BOILERPLATE})") & (n <= 30)
+        (chars - F.length(F.translate(line, "|", "")) >= 3)
+        | (F.size(F.split(line, MENU_SIGN)) > 3)
+        | ((n >= prose) & ~line.rlike(END_CLASS + r"\s*$") & ~wrapped)
+        | F.when((n <= 30) & line.rlike(f"(?i){BOILERPLATE}"), 2 * boilerplate_words(line) >= n).otherwise(False)
         | (symbols > symbol_share * F.greatest(chars, F.lit(1)))
         | (n >= 5) & (capitals > upper_share * F.greatest(letters, F.lit(1)))
         | (n >= 10) & (F.size(F.array_distinct(words)) < spread * F.sqrt(n.cast("double")))
     )
 
 
+def menu_entry(line: Column) -> Column:
+    """A line of at most three words that no sentence mark ends."""
+    return (F.size(F.array_remove(F.split(line, SPACE_CLASS), "")) <= 3) & ~line.rlike(END_CLASS + r"\s*$")
+
+
+def good_lines(lines: Column, entry: Column) -> Column:
+    """The lines that break no rule; `entry` says of each whether it may be a menu entry, and three such in a row are a menu."""
+    at = lambda i: F.coalesce(F.get(entry, i), F.lit(False))
+    menu = lambda k: at(k) & ((at(k - 1) & (at(k - 2) | at(k + 1))) | (at(k + 1) & at(k + 2)))
+    return F.filter(lines, lambda x, k: ~menu(k) & ~line_fails(x, F.get(lines, k + 1)))
+
+
 def packed_shingles(codes: Column) -> Column:
     """Sorted longs, one for each three-word window: high bits of its hash, then its place."""
     n = F.size(codes)
@@ -84,7 +113,8 @@ def judge_lines(docs: DataFrame, least_words: int = 50, most_repeated: int = 50,
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = own.withColumns({"words": space_words(F.col("text")), "lines": F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))})
     rows = with_repeats(rows)
-    rows = rows.withColumn("good", F.filter("lines", lambda x: ~line_fails(x)))
+    rows = rows.withColumn("_entry", F.transform("lines", menu_entry))
+    rows = rows.withColumn("good", good_lines(F.col("lines"), F.col("_entry")))
     whole = F.size("good") == F.size("lines")
     rows = rows.select(
         "doc_id",
