@@ -183,27 +183,28 @@ class ToxicityModel:
 
 
 class UnitScorer:
-    """Highest decision value among a text's units; remembers the units seen, `most` of them at most."""
+    """Highest decision value among a text's units. Remembers units, about `most` of each kind; what goes is worked out again."""
 
     def __init__(self, model: ToxicityModel, most: int = 800_000):
         self.model, self.most, self.plain, self.high = model, most, set(), {}
 
     def highest(self, texts: list[str]) -> list[float]:
         found = [raw_units(t) for t in texts]
-        if len(self.plain) > self.most:
-            self.plain.clear()
         new = list(set().union(*found) - self.plain - self.high.keys()) if found else []
         cores = {u: i for i, u in enumerate({unit(w) for w in new})}
         value = self.model.decide(list(cores)).tolist()
+        base = float(self.model.weights[-1])
         for w in new:
             v = value[cores[unit(w)]]
-            if v > self.model.weights[-1]:
+            if v > base:
                 self.high[w] = v
             else:
                 self.plain.add(w)
-        if len(self.high) > self.most:
-            raise MemoryError("too many different units near a landmark")
-        return [max((self.high[w] for w in units & self.high.keys()), default=float(self.model.weights[-1])) for units in found]
+        out = [max((self.high[w] for w in units & self.high.keys()), default=base) for units in found]
+        for seen in (self.plain, self.high):
+            if len(seen) > self.most:
+                seen.clear()
+        return out
 
 
 def linear_svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float = 1e4, steps: int = 60) -> np.ndarray:
@@ -225,12 +226,17 @@ def linear_svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float = 1
 
 
 def stand_outs(toxic: list[set[str]], clean: list[set[str]], least: int, share: float, most: int) -> list[str]:
-    """Units in at least `least` toxic documents (or `share` of them) that are far rarer in clean ones, strongest first; evidence (documents times log odds) of under 22 could be chance."""
+    """Units in at least `least` toxic documents (or `share` of them) that are far rarer in clean ones, strongest first.
+
+    The evidence, documents times log odds, has to exceed what the luckiest of so many units shows by chance, the log
+    of their number, by 9, as texts come in copies. So the bar falls with the number of labels.
+    """
     pos, neg = Counter(u for s in toxic for u in s), Counter(u for s in clean for u in s)
     need = max(least, share * len(toxic))
     ratio = (len(clean) + 1) / (len(toxic) + 1)
     odds = {u: n * math.log((n + 0.1) * ratio / (neg[u] + 0.1)) for u, n in pos.items() if n >= need and n * ratio >= 12 * neg[u]}
-    ranked = sorted((u for u in odds if odds[u] >= 22), key=lambda u: (-odds[u], u))
+    bar = math.log(len(pos) + 1) + 9
+    ranked = sorted((u for u in odds if odds[u] >= bar), key=lambda u: (-odds[u], u))
     if not ranked:
         return []
     held = np.array([[u in s for s in toxic] for u in ranked[: 8 * most]], np.float32)
