@@ -11,7 +11,7 @@ from __future__ import annotations
 import hashlib
 import hmac
 import re
-from bisect import bisect
+from bisect import bisect, bisect_left
 from collections.abc import Callable, Iterator
 from datetime import date
 from functools import lru_cache
@@ -164,21 +164,32 @@ def address(m: re.Match, key: bytes) -> str | None:
     return ".".join(map(str, value.to_bytes(4, "big")))
 
 
-def day(m: re.Match, key: bytes, order: str) -> str | None:
-    numbers = dict(zip(order, (int(g) for g in (m[1], m[3], m[4])), strict=True))
-    try:
-        at = date(numbers["y"], numbers["m"], numbers["d"]).toordinal() - FIRST_DAY
-    except ValueError:
+@lru_cache
+def printed_days(orders: tuple[str, ...], first: int, second: int, third: int) -> list[tuple[int, int, int]]:
+    """All dates 1900 to 2099 as their three numbers, in the given orders of y, m and d, that can be printed in
+    exactly these numbers of digits (a one-digit place holds 1 to 9, a two-digit place any value, 05 included)."""
+    found = set()
+    for at in range(FIRST_DAY, FIRST_DAY + DAYS):
+        when = date.fromordinal(at)
+        value = {"y": when.year, "m": when.month, "d": when.day}
+        for order in orders:
+            numbers = tuple(value[c] for c in order)
+            if all(n < 10**w for n, w in zip(numbers, (first, second, third), strict=True)):
+                found.add(numbers)
+    return sorted(found)
+
+
+def day(m: re.Match, key: bytes, orders: tuple[str, ...]) -> str | None:
+    """One of the dates of just the same shape, or None. Where day and month could stand either way, the domain
+    holds all that is a date in either reading, so no two dates of a shape share a pseudonym."""
+    groups = m[1], m[3], m[4]
+    shape = tuple(map(len, groups))
+    domain, own = printed_days(orders, *shape), tuple(map(int, groups))
+    at = bisect_left(domain, own)
+    if at == len(domain) or domain[at] != own:
         return None
-    if not 0 <= at < DAYS:
-        return None
-    new = date.fromordinal(FIRST_DAY + permute_other(at, DAYS, key, "date"))
-    width = [len(m[1]), len(m[3]), len(m[4])]
-    return m[2].join(str({"y": new.year, "m": new.month, "d": new.day}[c]).zfill(w) for c, w in zip(order, width, strict=True))
-
-
-def european_or_american(m: re.Match, key: bytes) -> str | None:
-    return day(m, key, "dmy") or day(m, key, "mdy")
+    new = domain[permute_other(at, len(domain), key, f"date{orders}{shape}")]
+    return m[2].join(str(n).zfill(w) for n, w in zip(new, shape, strict=True))
 
 
 def mail(m: re.Match, key: bytes) -> str | None:
@@ -195,8 +206,8 @@ KINDS: list[tuple[str, str, Callable[[re.Match, bytes], str | None]]] = [
     ("secret", r"\b(AKIA|ASIA)([A-Z0-9]{16})\b", secret),
     ("secret", r"""((?i:password|passwd|secret|token|api[_-]?key)\s*[:=]\s*["']?)([A-Za-z0-9+/_-]{8,})""", secret),
     ("iban", r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b", iban),
-    ("date", r"(?<![\d.-])(\d{4})([-/.])(\d{1,2})\2(\d{1,2})(?![\d-]|\.\d)", lambda m, key: day(re.match(r"(\d{4})([-/.])(\d{1,2})[-/.](\d{1,2})", m[0]), key, "ymd")),
-    ("date", r"(?<![\d.-])(\d{1,2})([-/.])(\d{1,2})\2(\d{4})(?![\d-]|\.\d)", lambda m, key: european_or_american(re.match(r"(\d{1,2})([-/.])(\d{1,2})[-/.](\d{4})", m[0]), key)),
+    ("date", r"(?<![\d.-])(\d{4})([-/.])(\d{1,2})\2(\d{1,2})(?![\d-]|\.\d)", lambda m, key: day(re.match(r"(\d{4})([-/.])(\d{1,2})[-/.](\d{1,2})", m[0]), key, ("ymd",))),
+    ("date", r"(?<![\d.-])(\d{1,2})([-/.])(\d{1,2})\2(\d{4})(?![\d-]|\.\d)", lambda m, key: day(re.match(r"(\d{1,2})([-/.])(\d{1,2})[-/.](\d{4})", m[0]), key, ("dmy", "mdy"))),
     ("ip", r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d)", address),
     ("ssn", r"(?<![\d-])(\d{3})-(\d{2})-(\d{4})(?![\d-])", social),
     ("card", r"(?<!\d)\d(?:[ -]?\d){12,18}(?!\d)", network_card),
@@ -260,9 +271,16 @@ def pseudonymise(text: str, key: bytes) -> tuple[str, list[tuple[int, int, str]]
     return "".join([*out, text[at:]]), [(a, b, kind) for a, b, kind, _ in taken]
 
 
-def pseudonymous(key: str = "tidemark"):
+def derived_key(key: str) -> bytes:
+    """The permutations' key; an empty one is refused, as anybody could undo its pseudonyms."""
+    if not key:
+        raise ValueError("pseudonyms need a secret key")
+    return hashlib.sha256(key.encode()).digest()
+
+
+def pseudonymous(key: str):
     """A column function: a text column with pseudonyms (null stays null)."""
-    secret_key = hashlib.sha256(key.encode()).digest()
+    secret_key = derived_key(key)
 
     @F.pandas_udf("string")
     def replaced(texts: pd.Series) -> pd.Series:
@@ -271,14 +289,15 @@ def pseudonymous(key: str = "tidemark"):
     return replaced
 
 
-def protect(docs: DataFrame, key: str = "tidemark") -> DataFrame:
+def protect(docs: DataFrame, key: str) -> DataFrame:
     """doc_id, text (with pseudonyms), spans (start, end, kind in the old text) of every row.
 
-    `key` decides the permutation; keep it secret and use the same one for tables that are to be linked.
+    `key` decides the permutation; keep it secret and use the same one for tables that are to be linked. There is no
+    default. Values that are printed alike get equal pseudonyms.
     Null texts stay null with no span, empty ones empty. One row per input row, repeated ids included; an
     empty table gives no rows; columns besides doc_id and text are ignored.
     """
-    secret_key = hashlib.sha256(key.encode()).digest()
+    secret_key = derived_key(key)
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

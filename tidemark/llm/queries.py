@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,6 +30,15 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def pii_key(spark: SparkSession) -> str:
+    """The session's spark.tidemark.pii.key; without one a random key, so that its pseudonyms cannot be inverted and
+    link documents within this session only."""
+    if not (key := spark.conf.get("spark.tidemark.pii.key", None)):
+        key = secrets.token_hex(32)
+        spark.conf.set("spark.tidemark.pii.key", key)
+    return key
+
+
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cleaned = remove_repeats(table(spark, sf_dir, "documents"))
     return cleaned.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
@@ -52,11 +62,11 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return protect(table(spark, sf_dir, "documents"))
+    return protect(table(spark, sf_dir, "documents"), pii_key(spark))
 
 
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
