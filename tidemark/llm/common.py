@@ -90,3 +90,15 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int =
 
 def sigmoid(z):
     return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
+
+
+def join_by_key(rows: DataFrame, one: DataFrame, key: str, number: str, total: int, share: int = 10_000, least: int = 100) -> DataFrame:
+    """`rows` joined with `one`, which has one row per `key` and, in `number`, about how many rows that key has.
+
+    Keys with more than total / `share` rows (and more than `least`) are joined by broadcast, so that their rows stay
+    where they are; there are at most about `share` such keys, whatever the input. The others meet by shuffle.
+    """
+    limit = max(least, total // share)
+    hot = F.broadcast(one.where(F.col(number) > limit))
+    cold = rows.join(hot.select(key), key, "left_anti").join(one.where(F.col(number) <= limit), key)
+    return rows.join(hot, key).unionByName(cold)

@@ -23,6 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import join_by_key
 from .components import connected_components, durable
 
 
@@ -46,14 +47,15 @@ def fingerprint(text: str | None, shingle: int = 4, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 4, seed: int = 42) -> DataFrame:
-    """doc_id and fp (the fingerprint's 64 bits as a signed long) of every row."""
+    """doc_id, fp (the fingerprint's 64 bits as a signed long) and text_hash (XXH64 of the text) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp = np.array([fingerprint(t.as_py(), shingle, seed) for t in b.column(1)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp), b.column(2)], ["doc_id", "fp", "text_hash"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return own.withColumn("text_hash", F.xxhash64("text")).mapInArrow(run, "doc_id long, fp long, text_hash long")
 
 
 def block_bounds(blocks: int) -> list[tuple[int, int]]:
@@ -192,19 +194,23 @@ def links(rows: DataFrame, threshold: int, most: int = 4096) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, threshold: int = 4, blocks: int = 3, shingle: int = 4, seed: int = 42) -> DataFrame:
-    """doc_id, fingerprint (16 lowercase hex digits), component_id (smallest doc_id reachable over links).
+    """doc_id, fingerprint (16 lowercase hex digits), component_id (smallest doc_id reachable over links), text_hash
+    (XXH64 of the text) and root (the component's number: its smallest fingerprint, as a signed long).
 
     One row per input row. Null, empty and blank texts have fingerprint zero and link like any other;
     repeated ids keep a row each; rows with a null id belong to their component but give it no id (null if
     no row has one). An empty table gives no rows. Columns besides doc_id and text are ignored. `blocks`
     sets the number of anchors: 3 suits up to about 10**8 different fingerprints, 2 (2**27 anchors a block,
-    343 copies of each fingerprint) larger sets; the result is the same.
+    343 copies of each fingerprint) larger sets; the result is the same. A fingerprint that very many rows
+    have is joined back by broadcast (see join_by_key), so its rows do not meet in one task.
     """
     marked = durable(fingerprints(docs, shingle, seed))
-    distinct = durable(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    joined = connected_components(links(anchor_rows(distinct, threshold, blocks), threshold))
-    linked = distinct.join(joined, F.col("fp") == F.col("node"))
-    smallest = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = linked.select("fp", "root").join(smallest, "root").select(F.col("fp").alias("node"), "component_id")
-    of = distinct.join(of, F.col("fp") == F.col("node"), "left").select(F.col("fp").alias("node"), F.coalesce("component_id", "least").alias("component_id"))
-    return marked.join(of, F.col("fp") == F.col("node")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    distinct = durable(marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
+    joined = connected_components(links(anchor_rows(distinct, threshold, blocks), threshold)).withColumnRenamed("node", "fp")
+    linked = distinct.join(joined, "fp")
+    smallest = linked.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("size"))
+    of = join_by_key(linked.select("fp", "root"), smallest, "root", "size", distinct.count()).select("fp", "root", "component_id")
+    of = durable(distinct.join(of, "fp", "left").select("fp", "n", F.coalesce("root", "fp").alias("root"), F.coalesce("component_id", "least").alias("component_id")))
+    rows = of.agg(F.sum("n")).first()[0] or 0
+    named = join_by_key(marked, of, "fp", "n", rows)
+    return named.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "text_hash", "root")
