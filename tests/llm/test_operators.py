@@ -110,9 +110,41 @@ def test_quality_rules(docs, empty):
         want.append((str(i), len(w), sum(map(len, w)), sum(x in "#*$%&|<>" for x in t or ""), len(lines) - len(set(lines)), len(covered), len(w) < 50 or 100 * len(covered) > 50 * len(w)))
     assert sorted((str(r.doc_id), r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in got) == sorted(want)
     kept = {r.doc_id: r.kept for r in got}
+    for r in got:
+        share = len(words(r.cleaned)) / max(r.n_words, 1)
+        assert r.kept_share == pytest.approx(share if r.n_words else 1.0) and r.kept == (not r.base_failed and r.kept_share >= 0.5)
     assert kept[1] and not kept[11] and not kept[4] and not kept[8]
 
 
+def test_line_rules_one_by_one(spark):
+    text = prose(1, 60)
+    long = " ".join(prose(2, 40).replace(".", "").split())
+    cases = {
+        "Home | News | Sport | Weather": False,
+        "Home > News > Sport > Weather": False,
+        "a / b": True,
+        "Home\nNews\nSport": False,
+        "A heading\n" + text: True,
+        long + "\nAnother line.": False,
+        long + "\nand on it goes.": True,
+        long + "!": True,
+        "(c) 2024 Acme Inc. All rights reserved.": False,
+        "Visit example.com to subscribe": False,
+        text + " They subscribe. " + text: True,
+        "THIS IS ALL VERY LOUD.": False,
+        "so $$$ many ### signs &&& here.": False,
+        "again " * 20 + ".": False,
+        "|" * 200_000: False,
+        "(" * 200_000 + "x.": True,
+        "a " * 200_000: False,
+        "x | " * 100_000: False,
+    }
+    rows = spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")
+    for r in judge_lines(rows).select("doc_id", "cleaned").collect():
+        line = list(cases)[r.doc_id].split("\n")[0]
+        assert (r.cleaned.split("\n")[0] == line) == cases[list(cases)[r.doc_id]], line[:60]
+
+
 def slow_kernel(s, t, n, decay):
     """The kernel by its definition: all index pairs."""
     from itertools import combinations
@@ -153,6 +185,18 @@ def test_toxicity_sees_inserted_letters(spark, docs, empty):
     assert toxicity.fit_toxicity([], (0, 0)).score(np.array([0.0]))[0] == pytest.approx(0.5)
 
 
+def test_forgetting_units_changes_no_score():
+    model = toxicity.fit_toxicity(labelled(), (120, 40))
+    texts = [t for _, t, _ in labelled(60)] + ["x" * 100_000, "you blockhead " * 5000]
+    small, large = toxicity.UnitScorer(model, most=3), toxicity.UnitScorer(model)
+    assert [small.highest([t])[0] for t in texts] == [large.highest([t])[0] for t in texts] == large.highest(texts)
+
+
+def test_few_labels_still_give_landmarks():
+    rows = [r for r in labelled(64)]
+    assert "blockhead" in toxicity.fit_toxicity(rows, (48, 16)).landmarks
+
+
 def test_kernel_bound_loses_nothing():
     model = toxicity.fit_toxicity(labelled(), (120, 40))
     rng = np.random.default_rng(3)
@@ -254,11 +298,26 @@ def test_pii_keeps_formats_and_links(docs, empty, spark):
     assert "4041894974608796" in new and "1984-13-45" in new
     digits = re.findall(r"card ([\d ]+) or (\d+)", new)[0]
     assert digits[0].replace(" ", "") == digits[1] and pii.luhn_digit(digits[1][:-1]) == digits[1][-1]
-    got = protect(docs).collect()
-    assert len(got) == len(TEXTS) and protect(empty).count() == 0
+    got = protect(docs, "key").collect()
+    assert len(got) == len(TEXTS) and protect(empty, "key").count() == 0
     assert sorted((str(r.doc_id), str(r.text)) for r in got) == sorted((str(i), str(t)) for i, t in TEXTS)
 
 
+def test_dates_keep_their_shape_and_never_collide():
+    for orders, sizes in ((("ymd",), (4, 2, 2)), (("dmy", "mdy"), (1, 1, 4)), (("dmy", "mdy"), (2, 2, 4)), (("dmy", "mdy"), (1, 2, 4))):
+        olds = ["/".join(str(n).zfill(w) for n, w in zip(d, sizes, strict=True)) for d in pii.printed_days(orders, *sizes)[::7]]
+        news = [pii.pseudonymise(f"on {d}.", b"key")[0][3:-1] for d in olds]
+        assert len(set(news)) == len(olds) and all(a != b for a, b in zip(olds, news, strict=True))
+        assert all([len(x) for x in a.split("/")] == [len(x) for x in b.split("/")] for a, b in zip(olds, news, strict=True))
+    assert pii.pseudonymise("31/31/2020 and 30.02.2020", b"key")[0] == "31/31/2020 and 30.02.2020"
+    assert len(pii.printed_days(("dmy", "mdy"), 2, 2, 4)) == len({(a, b, y) for d, m, y in [(d, m, y) for y, m, d in pii.printed_days(("ymd",), 4, 2, 2)] for a, b in ((d, m), (m, d))})
+
+
+def test_pii_refuses_an_empty_key(empty):
+    with pytest.raises(ValueError):
+        protect(empty, "")
+
+
 def test_pii_beside_other_numbers():
     cards = ["4111 1111 1111 1111", "4111111111111111", "5500-0000-0000-0004", "3782 822463 10005", "4222222222222", "6304 0000 0000 0000 000"]
     for value in cards:
@@ -299,7 +358,7 @@ def test_near_duplicates_by_brute_force(spark, docs, empty):
         least[r] = min(least.get(r, 10**9), texts[i][0])
     want = sorted((texts[i][0], f"{fp[i]:016x}", least[root[i]]) for i in range(len(texts)))
     for blocks in (2, 3, 4):
-        assert sorted(map(tuple, near_duplicates(rows, blocks=blocks).collect())) == want
+        assert sorted(map(tuple, near_duplicates(rows, blocks=blocks).select("doc_id", "fingerprint", "component_id").collect())) == want
     assert near_duplicates(empty).count() == 0
     assert near_duplicates(docs).count() == len(TEXTS)
 
