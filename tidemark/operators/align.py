@@ -80,3 +80,23 @@ def active_on_grid(grid: DataFrame, spans: DataFrame, by: list[str], on: str = "
     rows = grid.select(*by, F.col(on).alias("_t"), F.lit(1).alias("_o"), zero.alias("_d"), F.struct("*").alias("_row"))
     window = Window.partitionBy(*by).orderBy("_t", "_o").rowsBetween(Window.unboundedPreceding, 0)
     return rows.unionByName(steps).withColumn("active", F.sum("_d").over(window) > 0).where("_row is not null").select("_row.*", "active")
+
+
+def time_chunks(df: DataFrame, step_seconds: int, chunk: int, before: int, after: int, on: str = "ts") -> DataFrame:
+    """Adds `_chunk`, the number of the span of `chunk` steps a row lies in, and copies rows into the chunks that need them.
+
+    A row also goes to the next chunks if it lies in the `before` steps ahead of them, and to the previous one if it lies
+    in the `after` steps behind it. So windows by key and `_chunk` that look no further are exact on the rows that
+    `own_rows` keeps, and a long history of one key is the work of many tasks. The number comes from the time alone.
+    """
+    if max(before, after) > chunk:
+        raise ValueError("a chunk must be at least as long as what it takes from its neighbours")
+    step = F.floor(F.unix_micros(F.col(on).cast("timestamp")) / F.lit(step_seconds * 1_000_000)).cast("long")
+    own, place = F.floor(step / F.lit(chunk)).cast("long"), F.pmod(step, F.lit(chunk))
+    every = F.array_compact(F.array(own, F.when(place >= chunk - before, own + 1), F.when(place < after, own - 1)))
+    return df.withColumn("_own", own).withColumn("_chunk", F.explode(every))
+
+
+def own_rows(df: DataFrame) -> DataFrame:
+    """What is left of `time_chunks` rows when the copies are taken off."""
+    return df.where("_own = _chunk").drop("_own", "_chunk")

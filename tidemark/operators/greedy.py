@@ -13,21 +13,22 @@ from pyspark.sql import functions as F
 def space_out(hits: DataFrame, by: list[str], index: str, gap: int | str) -> DataFrame:
     """The hits kept when each must lie `gap` or more after the last kept one of its key.
 
-    `gap` is a number or the name of a column that is constant within a key. Indices are unique within a key.
+    `gap` is a number or the name of a column that is constant within a key. Indices are unique within a key. Rows
+    travel with their islands, so the hits are worked out once.
     """
-    own = hits.select(*by, index, (F.col(gap) if isinstance(gap, str) else F.lit(gap)).alias("_gap"))
     order = Window.partitionBy(*by).orderBy(index)
-    free = F.coalesce(F.col(index) - F.lag(index).over(order) >= F.col("_gap"), F.lit(True)).cast("int")
-    islands = own.withColumn("_island", F.sum(free).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    start = F.array().cast("array<bigint>")
-    kept = islands.groupBy(*by, "_island", "_gap").agg(
-        F.aggregate(
-            F.sort_array(F.collect_list(F.col(index).cast("long"))),
-            start,
-            lambda got, x: F.when((F.size(got) == 0) | (x - F.coalesce(F.get(got, F.size(got) - 1), x) >= F.col("_gap")), F.concat(got, F.array(x))).otherwise(got),
-        ).alias("_kept")
+    step = F.col(gap) if isinstance(gap, str) else F.lit(gap)
+    free = F.coalesce(F.col(index) - F.lag(index).over(order) >= step, F.lit(True)).cast("int")
+    rows = hits.withColumn("_island", F.sum(free).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    item = F.struct(F.col(index).cast("long").alias("i"), F.struct(*hits.columns).alias("row"))
+    groups = rows.groupBy(*by, "_island").agg(F.max(step).alias("_gap"), F.sort_array(F.collect_list(item)).alias("_all"))
+    places = F.aggregate(
+        F.transform("_all", lambda x: x["i"]),
+        F.array().cast("array<bigint>"),
+        lambda got, x: F.when((F.size(got) == 0) | (x - F.coalesce(F.get(got, F.size(got) - 1), x) >= F.col("_gap")), F.concat(got, F.array(x))).otherwise(got),
     )
-    return hits.join(kept.select(*by, F.explode("_kept").alias(index)), [*by, index], "left_semi")
+    kept = groups.withColumn("_places", places).select(F.explode(F.filter("_all", lambda x: F.array_contains("_places", x["i"]))).alias("_kept"))
+    return kept.select("_kept.row.*")
 
 
 def cool_down(spans: DataFrame, by: list[str], enter: str, leave: str, wait: int) -> DataFrame:
@@ -35,13 +36,13 @@ def cool_down(spans: DataFrame, by: list[str], enter: str, leave: str, wait: int
     order = Window.partitionBy(*by).orderBy(enter)
     reach = F.max(F.col(leave) + wait).over(order.rowsBetween(Window.unboundedPreceding, -1))
     free = F.coalesce(F.col(enter) > reach, F.lit(True)).cast("int")
-    islands = spans.select(*by, enter, leave).withColumn("_island", F.sum(free).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    item = F.struct(F.col(enter).cast("long").alias("a"), F.col(leave).cast("long").alias("b"))
-    kept = islands.groupBy(*by, "_island").agg(
-        F.aggregate(
-            F.sort_array(F.collect_list(item)),
-            F.array().cast("array<struct<a: bigint, b: bigint>>"),
-            lambda got, x: F.when((F.size(got) == 0) | (x["a"] > F.coalesce(F.get(got, F.size(got) - 1)["b"] + wait, x["a"] - 1)), F.concat(got, F.array(x))).otherwise(got),
-        ).alias("_kept")
+    rows = spans.withColumn("_island", F.sum(free).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    item = F.struct(F.col(enter).cast("long").alias("a"), F.col(leave).cast("long").alias("b"), F.struct(*spans.columns).alias("row"))
+    groups = rows.groupBy(*by, "_island").agg(F.sort_array(F.collect_list(item)).alias("_all"))
+    places = F.aggregate(
+        F.transform("_all", lambda x: F.struct(x["a"].alias("a"), x["b"].alias("b"))),
+        F.array().cast("array<struct<a: bigint, b: bigint>>"),
+        lambda got, x: F.when((F.size(got) == 0) | (x["a"] > F.coalesce(F.get(got, F.size(got) - 1)["b"] + wait, x["a"] - 1)), F.concat(got, F.array(x))).otherwise(got),
     )
-    return spans.join(kept.select(*by, F.explode("_kept.a").alias(enter)), [*by, enter], "left_semi")
+    kept = groups.withColumn("_places", F.transform(places, lambda x: x["a"])).select(F.explode(F.filter("_all", lambda x: F.array_contains("_places", x["a"]))).alias("_kept"))
+    return kept.select("_kept.row.*")

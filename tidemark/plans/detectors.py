@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-from .panel import lagged, pq
+from .panel import STEP_MINUTES, lagged, pq
 
 #: Lagged columns and sliding extrema that rules need, added before the rules are looked at.
 HELPERS: dict[str, str] = {
     "prev_rv_z": lagged("rv_z", 1), "prev_rv_z_pq950": lagged(pq("rv_z", 0.95), 1), "prev_abs_ret": lagged("abs_ret", 1), "prev_abs_ret_pq950": lagged(pq("abs_ret", 0.95), 1), "prev_ret": lagged("ret_1", 1),
-    "prev_ratio": lagged("ratio_now", 1), "prev_high": lagged("high_24", 1), "prev_low": lagged("low_24", 1), "prev_funding": lagged("funding", 1), "prev_abs_trend": lagged("abs_trend", 1), "prev_trend": lagged("trend", 1),
+    "prev_ratio": lagged("ratio_now", 1), "prev_funding": lagged("funding", 1), "prev_abs_trend": lagged("abs_trend", 1), "prev_trend": lagged("trend", 1),
     "prev_abs_trend_pq700": lagged(pq("abs_trend", 0.7), 1), "prev_abs_trend_pq350": lagged(pq("abs_trend", 0.35), 1), "prev_rv": lagged("rv", 1), "prev_rv_pq660": lagged(pq("rv", 0.66), 1), "prev_rv_pq330": lagged(pq("rv", 0.33), 1), "prev_spread_z": lagged("spread_z", 1),
-    "top_48": "max(close) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 48 PRECEDING AND 1 PRECEDING)", "bottom_48": "min(close) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 48 PRECEDING AND 1 PRECEDING)",
-    "mean_24": "avg(close) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 23 PRECEDING AND CURRENT ROW)", "sd_24": "stddev_samp(close) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 23 PRECEDING AND CURRENT ROW)",
-    "hh": "hour(ts)", "dd": "day(ts)", "oi_change": f"oi / nullif({lagged('oi', 1)}, 0) - 1",
+    "hh": "hour(ts)", "dd": "day(ts)", "mm": "minute(ts)", "oi_change": f"oi / nullif({lagged('oi', 1)}, 0) - 1",
 }
 
 #: Name -> (rule, bars between kept hits). An unknown value makes a rule false.
@@ -26,7 +24,7 @@ RULES: dict[str, tuple[str, int]] = {
     "VOL_RELAXATION_START": (f"prev_rv_z >= prev_rv_z_pq950 AND rv_z < {pq('rv_z', 0.7)} AND rv_z < prev_rv_z", 6),
     "VOL_CLUSTER_SHIFT": (f"rv_step >= {pq('rv_step', 0.98)}", 6),
     "RANGE_COMPRESSION_END": ("prev_ratio <= 0.8 AND ratio_now >= 0.95", 6),
-    "BREAKOUT_TRIGGER": ("(close > top_48 OR close < bottom_48) AND prev_ratio <= 0.85", 6),
+    "BREAKOUT_TRIGGER": ("(close > top_24 OR close < bottom_24) AND prev_ratio <= 0.85", 6),
     "FUNDING_FLIP": (f"coalesce(sign(funding) <> sign(prev_funding), TRUE) AND abs_funding >= {pq('abs_funding', 0.6)}", 6),
     "DELEVERAGING_WAVE": (f"oi_delta <= {pq('oi_delta', 0.05)} AND rv_z >= {pq('rv_z', 0.7)}", 6),
     "TREND_EXHAUSTION_TRIGGER": (f"abs_trend >= {pq('abs_trend', 0.85)} AND ret_1 * trend <= 0 AND rv_z >= {pq('rv_z', 0.5)}", 6),
@@ -34,8 +32,9 @@ RULES: dict[str, tuple[str, int]] = {
     "CLIMAX_VOLUME_BAR": (f"abs_ret >= {pq('abs_ret', 0.99)} AND rv_z >= {pq('rv_z', 0.9)}", 6),
     "FAILED_CONTINUATION": ("prev_abs_ret >= prev_abs_ret_pq950 AND ret_1 * prev_ret < 0", 6),
     "RANGE_BREAKOUT": (f"(close > prev_high OR close < prev_low) AND rv >= {pq('rv', 0.5)}", 6),
-    "TREND_ACCELERATION": (f"abs_trend >= {pq('abs_trend', 0.7)} AND trend_step >= {pq('trend_step', 0.9)} AND ret_1 * trend > 0", 6),
-    "TREND_DECELERATION": (f"prev_abs_trend >= prev_abs_trend_pq700 AND trend_step <= {pq('trend_step', 0.1)} AND ret_1 * prev_trend < 0", 6),
+    "FALSE_BREAKOUT": (f"broke_before = 1 AND close <= prev_high AND close >= prev_low AND abs_ret >= {pq('abs_ret', 0.4)}", 6),
+    "TREND_ACCELERATION": (f"abs_trend >= {pq('abs_trend', 0.7)} AND trend_step >= {pq('trend_step', 0.9)} AND sign(ret_mean_3) = sign(trend)", 6),
+    "TREND_DECELERATION": (f"prev_abs_trend >= prev_abs_trend_pq700 AND trend_step <= {pq('trend_step', 0.1)} AND ret_1 * prev_trend <= 0", 6),
     "PULLBACK_PIVOT": (f"prev_abs_trend >= prev_abs_trend_pq700 AND ret_1 * prev_trend < 0 AND abs_ret >= {pq('abs_ret', 0.4)} AND abs_ret <= {pq('abs_ret', 0.75)} AND bar_range <= {pq('bar_range', 0.8)}", 6),
     "SUPPORT_RESISTANCE_BREAK": (f"(close > top_48 OR close < bottom_48) AND rv >= {pq('rv', 0.6)}", 6),
     "ZSCORE_STRETCH": (f"abs_px_z >= greatest(coalesce({pq('abs_px_z', 0.96)}, 2.0), 2.0)", 6),
@@ -50,16 +49,16 @@ RULES: dict[str, tuple[str, int]] = {
     "INDEX_COMPONENT_DIVERGENCE": (f"abs_basis_z >= {pq('abs_basis_z', 0.93)} AND abs_ret >= {pq('abs_ret', 0.75)}", 6),
     "SPOT_PERP_BASIS_SHOCK": (f"abs_basis_z >= greatest(coalesce({pq('abs_basis_z', 0.97)}, 2.0), 2.0)", 6),
     "LEAD_LAG_BREAK": (f"basis_step >= {pq('basis_step', 0.99)}", 6),
-    "SESSION_OPEN_EVENT": ("hh IN (0, 8, 13)", 1),
-    "SESSION_CLOSE_EVENT": ("hh IN (7, 12, 23)", 1),
-    "FUNDING_TIMESTAMP_EVENT": ("hh IN (0, 8, 16)", 1),
-    "SCHEDULED_NEWS_WINDOW_EVENT": ("hh IN (12, 13, 14, 18)", 1),
+    "SESSION_OPEN_EVENT": (f"hh IN (0, 8, 13) AND mm < {STEP_MINUTES}", 1),
+    "SESSION_CLOSE_EVENT": (f"hh IN (7, 12, 23) AND mm + {STEP_MINUTES} >= 60", 1),
+    "FUNDING_TIMESTAMP_EVENT": (f"hh IN (0, 8, 16) AND mm < {STEP_MINUTES}", 1),
+    "SCHEDULED_NEWS_WINDOW_EVENT": (f"hh IN (12, 13, 14, 18) AND mm + {STEP_MINUTES} > 25 AND mm <= 35", 1),
     "SPREAD_REGIME_WIDENING_EVENT": (f"spread_z >= greatest(coalesce({pq('spread_z', 0.97)}, 2.0), 2.0) AND spread_z > prev_spread_z", 3),
     "SLIPPAGE_SPIKE_EVENT": (f"spread_z >= {pq('spread_z', 0.93)} AND abs_ret >= {pq('abs_ret', 0.9)} AND bar_range >= {pq('bar_range', 0.9)} AND rv >= {pq('rv', 0.7)}", 3),
-    "FEE_REGIME_CHANGE_EVENT": ("hh = 0 AND dd = 1", 3),
+    "FEE_REGIME_CHANGE_EVENT": (f"hh = 0 AND dd = 1 AND mm < {STEP_MINUTES}", 3),
     "OI_SPIKE_POSITIVE": ("oi_z >= 2.5 AND ret_1 > 0", 1),
     "OI_SPIKE_NEGATIVE": ("oi_z >= 2.5 AND ret_1 < 0", 1),
     "OI_FLUSH": ("oi_change <= -0.005", 1),
-    "LIQUIDITY_SHOCK": ("quote_volume < 0.5 * vol_med AND bar_range >= 0", 12),
+    "LIQUIDITY_SHOCK": ("quote_volume < 0.5 * vol_base AND bar_range > 2 * range_base", 12),
     "FND_DISLOC": ("abs_funding > 0.0002", 12),
 }

@@ -3,14 +3,22 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.frames import clip, ordered, pct_rank, quantile, ratio, rolling, zscore
-from ..operators.align import grid_reindex
+from ..functions import frames
+from ..functions.frames import clip, quantile, ratio
+from ..operators.align import grid_reindex, own_rows, time_chunks
 
-W = ordered
+#: Windows of the panel run over chunks of a symbol's history, each with what it needs of its neighbours.
+KEYS = ("symbol", "_chunk")
+W = partial(frames.ordered, KEYS)
+rolling, zscore = partial(frames.rolling, keys=KEYS), partial(frames.zscore, keys=KEYS)
+#: Bars in a chunk, and before and after it: no feature, threshold or rule looks back further than BEFORE bars.
+CHUNK, BEFORE, AFTER = 8192, 384, 64
+STEP_MINUTES = 60
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -75,6 +83,17 @@ def lagged(x: str, n: int) -> str:
     return f"lag({x}, {n}) OVER (PARTITION BY symbol ORDER BY ts)"
 
 
+def filled(name: str, limit: int = 48) -> Column:
+    """The value, else the last one of `limit` bars, else the next one of `limit` bars."""
+    before, after = F.last(name, ignorenulls=True).over(W().rowsBetween(-limit, 0)), F.first(name, ignorenulls=True).over(W().rowsBetween(0, limit))
+    return F.coalesce(before, after)
+
+
+def filled_sql(name: str, limit: int = 48) -> str:
+    order = "OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN"
+    return f"coalesce(last_value({name} IGNORE NULLS) {order} {limit} PRECEDING AND CURRENT ROW), first_value({name} IGNORE NULLS) {order} CURRENT ROW AND {limit} FOLLOWING))"
+
+
 #: Features in order of dependence; each as a function that makes the Column and as SQL over the columns before it.
 LEVELS: list[dict[str, tuple[Callable[[], Column], str]]] = [
     {
@@ -90,10 +109,22 @@ LEVELS: list[dict[str, tuple[Callable[[], Column], str]]] = [
         "high_24": (lambda: rolling(F.col("high"), F.max, 24, 18), roll("max", "high", 24, 18)),
         "low_24": (lambda: rolling(F.col("low"), F.min, 24, 18), roll("min", "low", 24, 18)),
         "vol_med": (lambda: rolling(F.col("quote_volume"), quantile(0.5), 48, 24), roll("quantile_cont(?, 0.5)", "quote_volume", 48, 24)),
+        "range_med48": (lambda: rolling(ratio(F.col("high") - F.col("low"), F.col("close")), quantile(0.5), 48, 24), roll("quantile_cont(?, 0.5)", "((high - low) / nullif(close, 0))", 48, 24)),
+        "top_24": (lambda: rolling(F.col("close"), F.max, 24, 6, 1), roll("max", "close", 24, 6, 1)),
+        "bottom_24": (lambda: rolling(F.col("close"), F.min, 24, 6, 1), roll("min", "close", 24, 6, 1)),
+        "top_48": (lambda: rolling(F.col("high"), F.max, 48, 16, 1), roll("max", "high", 48, 16, 1)),
+        "bottom_48": (lambda: rolling(F.col("low"), F.min, 48, 16, 1), roll("min", "low", 48, 16, 1)),
+        "mean_24": (lambda: rolling(F.col("close"), F.avg, 24, 6), roll("avg", "close", 24, 6)),
+        "sd_24": (lambda: F.nullif(rolling(F.col("close"), F.stddev_samp, 24, 6), F.lit(0.0)), f"nullif({roll('stddev_samp', 'close', 24, 6)}, 0)"),
         "vpin": (lambda: ratio(rolling(F.abs(2 * F.col("buy_volume") - F.col("volume")), F.sum, 24), rolling(F.col("volume"), F.sum, 24)), f"{roll('sum', 'abs(2 * buy_volume - volume)', 24, 24)} / nullif({roll('sum', 'volume', 24, 24)}, 0)"),
     },
     {
         "abs_ret": (lambda: F.abs("ret_1"), "abs(ret_1)"),
+        "ret_mean_3": (lambda: rolling(F.col("ret_1"), F.avg, 3, 1), roll("avg", "ret_1", 3, 1)),
+        "prev_high": (lambda: F.lag("high_24", 1).over(W()), lagged("high_24", 1)),
+        "prev_low": (lambda: F.lag("low_24", 1).over(W()), lagged("low_24", 1)),
+        "vol_base": (lambda: filled("vol_med"), filled_sql("vol_med")),
+        "range_base": (lambda: filled("range_med48"), filled_sql("range_med48")),
         "abs_trend": (lambda: F.abs("trend"), "abs(trend)"),
         "rv": (lambda: rolling(F.col("logret"), F.stddev_samp, 24, 18), roll("stddev_samp", "logret", 24, 18)),
         "px_z": (lambda: zscore(F.col("ret_12"), 48, 24), z("ret_12", 48, 24)),
@@ -102,10 +133,11 @@ LEVELS: list[dict[str, tuple[Callable[[], Column], str]]] = [
         "oi_delta": (lambda: F.col("oi") - F.lag("oi", 12).over(W()), f"oi - {lagged('oi', 12)}"),
         "oi_logdiff": (lambda: F.log("oi") - F.log(F.lag("oi", 1).over(W())), f"ln(oi) - ln({lagged('oi', 1)})"),
         "range_24": (lambda: ratio(F.col("high_24") - F.col("low_24"), F.col("close")), "(high_24 - low_24) / nullif(close, 0)"),
-        "amihud": (lambda: rolling(ratio(F.abs("logret"), F.col("quote_volume")), F.avg, 24, 18), roll("avg", "(abs(logret) / nullif(quote_volume, 0))", 24, 18)),
+        "amihud": (lambda: rolling(ratio(F.abs("logret"), F.col("quote_volume")), F.avg, 24), roll("avg", "(abs(logret) / nullif(quote_volume, 0))", 24, 24)),
         "dp": (lambda: F.col("close") - F.lag("close", 1).over(W()), f"close - {lagged('close', 1)}"),
     },
     {
+        "broke": (lambda: F.when((F.col("close") > F.col("prev_high")) | (F.col("close") < F.col("prev_low")), 1).otherwise(0), "CASE WHEN close > prev_high OR close < prev_low THEN 1 ELSE 0 END"),
         "rv_z": (lambda: zscore(F.col("rv"), 72, 24), z("rv", 72, 24)),
         "oi_z": (lambda: zscore(F.col("oi_logdiff"), 48, 24), z("oi_logdiff", 48, 24)),
         "range_med": (lambda: rolling(F.col("range_24"), quantile(0.5), 96, 48), roll("quantile_cont(?, 0.5)", "range_24", 96, 48)),
@@ -119,21 +151,32 @@ LEVELS: list[dict[str, tuple[Callable[[], Column], str]]] = [
         "score": (lambda: clip(-F.col("px_z"), -4.0, 4.0), "CASE WHEN px_z IS NOT NULL THEN greatest(-4.0, least(4.0, -px_z)) END"),
     },
     {
+        "broke_before": (lambda: F.max("broke").over(W().rowsBetween(-3, -1)), "max(broke) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING)"),
         "rv_step": (lambda: F.abs(F.col("rv_z") - F.lag("rv_z", 1).over(W())), f"abs(rv_z - {lagged('rv_z', 1)})"),
         "ratio_now": (lambda: ratio(F.col("range_24"), F.col("range_med")), "range_24 / nullif(range_med, 0)"),
-        "roll_spread": (lambda: 2 * F.sqrt(F.greatest(F.lit(0.0), -F.when(F.count(F.col("dp") * F.col("dp_1")).over(W().rowsBetween(-23, 0)) >= 12, F.covar_samp("dp", "dp_1").over(W().rowsBetween(-23, 0))))),
-            f"2 * sqrt(greatest(0.0, -CASE WHEN count(dp * dp_1) {over(24)} >= 12 THEN covar_samp(dp, dp_1) {over(24)} END))",
+        "roll_spread": (lambda: 2 * F.sqrt(F.greatest(F.lit(0.0), -F.when(F.count(F.col("dp") * F.col("dp_1")).over(W().rowsBetween(-23, 0)) >= 24, F.covar_samp("dp", "dp_1").over(W().rowsBetween(-23, 0))))),
+            f"2 * sqrt(greatest(0.0, -CASE WHEN count(dp * dp_1) {over(24)} >= 24 THEN covar_samp(dp, dp_1) {over(24)} END))",
         ),
     },
 ]
 
 
-def features(df: DataFrame) -> DataFrame:
+def chunked(df: DataFrame, chunk: int = CHUNK, before: int = BEFORE, after: int = AFTER) -> DataFrame:
+    """The panel's bars with `_chunk`, each bar also in the chunks that look back or ahead to it; `own_rows` takes these off."""
+    return time_chunks(df, STEP_MINUTES * 60, chunk, before, after)
+
+
+def add_features(df: DataFrame) -> DataFrame:
+    """Features of a chunked panel."""
     for level in LEVELS:
         df = df.withColumns({name: column() for name, (column, _) in level.items()})
     return df
 
 
+def features(df: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    return own_rows(add_features(chunked(df, chunk)))
+
+
 def features_sql() -> str:
     out, last = [], "cleaned"
     for i, level in enumerate(LEVELS):

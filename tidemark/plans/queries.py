@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -10,12 +11,12 @@ from pyspark.sql import functions as F
 
 from ..functions.frames import ordered, pct_rank
 from ..functions.tails import normal_two_sided
-from ..operators.align import active_on_grid, asof_join, keep_one, repeated_keys, runs
+from ..operators.align import active_on_grid, asof_join, keep_one, repeated_keys, own_rows, runs
 from ..operators.greedy import cool_down, space_out
 from ..operators.pooling import newey_west, pool, profit_parts, static_cost
 from ..operators.testing import bh_adjust, simes
 from ..sources.readers import parse_klines
-from ..streaming.streams import event_stream, stream_bars
+from ..streaming.streams import event_stream, stream_bars, stream_dedupe
 from . import panel as P
 from .detectors import HELPERS, RULES
 
@@ -45,8 +46,10 @@ def s6(text: str) -> str:
 
 # --- features: one query each -------------------------------------------------------------------------
 
+#: Columns of rules only, that are no features of their own.
+_INNER = {"ret_mean_3", "prev_high", "prev_low", "vol_base", "range_base", "broke", "broke_before", "top_24", "bottom_24", "top_48", "bottom_48", "mean_24", "sd_24"}
 for _level in P.LEVELS:
-    for _name in _level:
+    for _name in [n for n in _level if n not in _INNER]:
         register(f"feature_{_name}", f"WITH {P.features_sql()} SELECT symbol, ts, {s6(_name)} AS value FROM feat")(
             lambda spark, d, n=_name: P.features(P.cleaned(spark, d)).select("symbol", "ts", r6(F.col(n)).alias("value"))
         )
@@ -192,12 +195,21 @@ register("broadcast_all", "SELECT e.event_id, s.symbol FROM events e CROSS JOIN
 # --- detection ---------------------------------------------------------------------------------------
 
 
-def hits(spark: SparkSession, d: str) -> DataFrame:
-    """(event_type, symbol, ts, bar) of every bar that fulfils a rule, all rules in one pass over the panel."""
-    df = P.thresholds(P.features(P.cleaned(spark, d)))
-    df = df.withColumns({n: F.expr(t) for n, t in HELPERS.items()}).withColumn("bar", F.row_number().over(W()).cast("long"))
+def panel(spark: SparkSession, d: str, chunk: int = P.CHUNK) -> DataFrame:
+    """The chunked panel with all that rules look at, the bar's number, and the forward return over three bars from the next one on."""
+    bars = P.cleaned(spark, d)
+    first = Window.partitionBy("symbol")
+    number = (F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.min("ts").over(first).cast("timestamp"))) / F.lit(P.STEP_MINUTES * 60_000_000)
+    df = P.thresholds(P.add_features(P.chunked(bars.withColumn("bar", number.cast("long") + 1), chunk)))
+    fwd = F.lead("close", 4).over(P.W()) / F.nullif(F.lead("close", 1).over(P.W()), F.lit(0.0)) - 1
+    helped = df.withColumns({n: F.expr(t.replace("PARTITION BY symbol", "PARTITION BY symbol, _chunk")) for n, t in HELPERS.items()} | {"fwd": fwd})
+    return own_rows(helped)
+
+
+def hits(spark: SparkSession, d: str, chunk: int = P.CHUNK) -> DataFrame:
+    """(event_type, symbol, ts, bar, fwd) of every bar that fulfils a rule, all rules in one pass over the panel."""
     found = F.array_compact(F.array(*[F.when(F.expr(rule), F.struct(F.lit(n).alias("event_type"), F.lit(gap).alias("gap"))) for n, (rule, gap) in RULES.items()]))
-    return df.select("symbol", "ts", "bar", F.explode(found).alias("e")).select("e.event_type", "e.gap", "symbol", "ts", "bar")
+    return panel(spark, d, chunk).select("symbol", "ts", "bar", "fwd", F.explode(found).alias("e")).select("e.event_type", "e.gap", "symbol", "ts", "bar", "fwd")
 
 
 _HITS_SQL = (
@@ -210,11 +222,11 @@ _KEPT_SQL = """kept AS (SELECT event_type, symbol, gap, min(bar) AS bar FROM hit
 
 
 def detect(spark: SparkSession, d: str) -> DataFrame:
-    return space_out(hits(spark, d), ["event_type", "symbol"], "bar", "gap").select("event_type", "symbol", "ts", "bar")
+    return space_out(hits(spark, d), ["event_type", "symbol"], "bar", "gap").select("event_type", "symbol", "ts", "bar", "fwd")
 
 
 register("detect_hits", f"WITH {_HITS_SQL} SELECT event_type, symbol, count(*) AS n FROM hits GROUP BY 1, 2")(lambda spark, d: hits(spark, d).groupBy("event_type", "symbol").agg(F.count("*").alias("n")))
-register("detect_all", f"WITH RECURSIVE {_HITS_SQL}, {_KEPT_SQL} SELECT h.event_type, h.symbol, h.ts, h.bar FROM hits h JOIN kept k USING (event_type, symbol, bar)")(detect)
+register("detect_all", f"WITH RECURSIVE {_HITS_SQL}, {_KEPT_SQL} SELECT h.event_type, h.symbol, h.ts, h.bar FROM hits h JOIN kept k USING (event_type, symbol, bar)")(lambda spark, d: detect(spark, d).drop("fwd"))
 
 _SPANS_SQL = f"""{P.CLEANED_SQL}, b AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS bar FROM cleaned), spans AS (SELECT symbol, bar, bar + 1 + CAST(volume AS BIGINT) % 4 AS leave FROM b WHERE close > 250)"""
 register(
@@ -252,9 +264,7 @@ SELECT symbol, ts, min(CASE WHEN close > 300 THEN bar END) OVER (PARTITION BY sy
 
 def labelled(spark: SparkSession, d: str) -> DataFrame:
     """Detected events with their lagged forward return over three bars."""
-    b = P.cleaned(spark, d)
-    fwd = b.select("symbol", "ts", (F.lead("close", 4).over(W()) / F.nullif(F.lead("close", 1).over(W()), F.lit(0.0)) - 1).alias("fwd"))
-    return detect(spark, d).join(fwd, ["symbol", "ts"])
+    return detect(spark, d)
 
 
 _LABELLED_SQL = f"{_HITS_SQL}, {_KEPT_SQL}, fw AS (SELECT symbol, ts, lead(close, 4) OVER (PARTITION BY symbol ORDER BY ts) / nullif(lead(close, 1) OVER (PARTITION BY symbol ORDER BY ts), 0) - 1 AS fwd FROM cleaned), lab AS (SELECT h.event_type, h.symbol, h.ts, h.bar, fw.fwd FROM hits h JOIN kept k USING (event_type, symbol, bar) JOIN fw ON fw.symbol = h.symbol AND fw.ts = h.ts)"
@@ -359,19 +369,21 @@ _CAND = "cand AS (SELECT l_returnflag AS family, l_linestatus AS state, l_suppke
 
 
 def _pooled_sql() -> str:
-    """The same two levels spelled out: family over state, state over unit."""
-    return f"""WITH {_CAND}, a AS (SELECT *, sum(n) OVER f AS nf, sum(n * effect) OVER f / sum(n) OVER f AS mf, sum((n - 1) * sd * sd) OVER f / greatest(sum(n - 1) OVER f, 1) AS wf,
- sum(n) OVER s AS ns, sum(n * effect) OVER s / sum(n) OVER s AS ms, sum((n - 1) * sd * sd) OVER s / greatest(sum(n - 1) OVER s, 1) AS ws, count(*) OVER s AS ks FROM cand WINDOW f AS (PARTITION BY family), s AS (PARTITION BY family, state)),
-b AS (SELECT *, sum(n * (ms - mf) * (ms - mf)) OVER f / nf AS bf, sum(n * (effect - ms) * (effect - ms)) OVER s / ns AS bs, max(state) OVER f = min(state) OVER f AS one FROM a WINDOW f AS (PARTITION BY family), s AS (PARTITION BY family, state)),
-c AS (SELECT *, CASE WHEN nf < 200 THEN 1.0 ELSE ns / (ns + CASE WHEN one THEN 5000.0 ELSE greatest(5.0, least(5000.0, wf / greatest(bf, 1e-8))) END) END AS w1, CASE WHEN ns < 200 THEN 1.0 ELSE n / (n + CASE WHEN ks = 1 THEN 5000.0 ELSE greatest(5.0, least(5000.0, ws / greatest(bs, 1e-8))) END) END AS w2 FROM b)
-SELECT family, state, unit, n, {s6('w2')} AS weight, {s6('w2 * effect + (1 - w2) * (w1 * ms + (1 - w1) * mf)')} AS pooled FROM c"""
+    """Two levels with joins of grouped tables: families of states, states of units."""
+    return f"""WITH {_CAND}, st AS (SELECT family, state, sum(n) AS n, sum(n * effect) / sum(n) AS m FROM cand GROUP BY 1, 2),
+ sv AS (SELECT c.family, c.state, any_value(st.n) AS n, any_value(st.m) AS m, sum((c.n - 1) * c.sd * c.sd + c.n * (c.effect - st.m) * (c.effect - st.m)) / greatest(any_value(st.n) - 1, 1) AS v, count(*) AS k,
+  sum((c.n - 1) * c.sd * c.sd) / greatest(sum(c.n - 1), 1) AS w_in, sum(c.n * (c.effect - st.m) * (c.effect - st.m)) / sum(c.n) AS b_in FROM cand c JOIN st USING (family, state) GROUP BY 1, 2),
+ fa AS (SELECT family, sum(n) AS n, sum(n * m) / sum(n) AS m FROM sv GROUP BY 1),
+ fv AS (SELECT s.family, any_value(fa.n) AS n, any_value(fa.m) AS m, count(*) AS k, sum((s.n - 1) * s.v) / greatest(sum(s.n - 1), 1) AS w_in, sum(s.n * (s.m - fa.m) * (s.m - fa.m)) / sum(s.n) AS b_in FROM sv s JOIN fa USING (family) GROUP BY 1),
+ lam AS (SELECT c.*, s.n AS ns, s.m AS ms, f.m AS mf, CASE WHEN f.n < 200 THEN 0 WHEN f.k = 1 THEN 5000 ELSE greatest(5, least(5000, f.w_in / greatest(f.b_in, 1e-8))) END AS l1, CASE WHEN s.n < 200 THEN 0 WHEN s.k = 1 THEN 5000 ELSE greatest(5, least(5000, s.w_in / greatest(s.b_in, 1e-8))) END AS l2 FROM cand c JOIN sv s USING (family, state) JOIN fv f USING (family))
+SELECT family, state, unit, n, {s6('l2')} AS lambda, {s6('n / (n + l2)')} AS weight, {s6('n / (n + l2) * effect + l2 / (n + l2) * (ns / (ns + l1) * ms + l1 / (ns + l1) * mf)')} AS pooled FROM lam"""
 
 
 @register("hierarchical_shrinkage", _pooled_sql())
 def hierarchical_shrinkage(spark: SparkSession, d: str) -> DataFrame:
     line = P.table(spark, d, "lineitem")
     cand = line.groupBy(F.col("l_returnflag").alias("family"), F.col("l_linestatus").alias("state"), (F.col("l_suppkey") % 20).alias("unit")).agg(F.count("*").alias("n"), F.avg("l_discount").alias("effect"), F.stddev_samp("l_discount").alias("sd"))
-    return pool(cand, [["family"], ["family", "state"]]).select("family", "state", "unit", "n", r6(F.col("weight")).alias("weight"), r6(F.col("pooled")).alias("pooled"))
+    return pool(cand, [["family"], ["family", "state"]]).select("family", "state", "unit", "n", r6(F.col("lambda")).alias("lambda"), r6(F.col("weight")).alias("weight"), r6(F.col("pooled")).alias("pooled"))
 
 
 @register(
@@ -388,8 +400,10 @@ def pnl_components(spark: SparkSession, d: str) -> DataFrame:
 
 register(
     "newey_west_t",
-    f"WITH {P.features_sql()}, r AS (SELECT symbol, ts, ret_1 AS x, ret_1 - avg(ret_1) OVER (PARTITION BY symbol) AS r FROM feat WHERE ret_1 IS NOT NULL), l AS (SELECT *, {', '.join(f'lag(r, {k}) OVER (PARTITION BY symbol ORDER BY ts) AS r{k}' for k in (1, 2, 3))} FROM r) SELECT symbol, count(x) AS n, {s6('avg(x)')} AS mean, {s6('avg(x) / sqrt(greatest(sum(r * r) / count(x) + ' + ' + '.join(f'2 * (1 - {k} / 4.0) * sum(r * r{k}) / count(x)' for k in (1, 2, 3)) + ', 1e-18) / count(x))')} AS t_hac FROM l GROUP BY symbol",
-)(lambda spark, d: newey_west(P.features(P.cleaned(spark, d)).where("ret_1 is not null"), ["symbol"], "ret_1", "ts", 3).select("symbol", "n", r6(F.col("mean")).alias("mean"), r6(F.col("t_hac")).alias("t_hac")))
+    f"WITH {P.features_sql()}, r AS (SELECT symbol, ret_1 AS x, ret_1 - avg(ret_1) OVER (PARTITION BY symbol) AS r, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS i, count(*) OVER (PARTITION BY symbol) AS n FROM feat WHERE ret_1 IS NOT NULL), "
+    "l AS (SELECT DISTINCT symbol, n, floor(4 * power(n / 100.0, 2.0 / 9)) AS L FROM r), g AS (SELECT l.symbol, k, any_value(L) AS L, sum(a.r * b.r) / any_value(l.n) AS c FROM l, (SELECT unnest(range(1, 40)) AS k), r a, r b WHERE k <= L AND a.symbol = l.symbol AND b.symbol = l.symbol AND b.i = a.i - k GROUP BY 1, 2), "
+    f"v AS (SELECT symbol, sum(2 * (1 - k / (L + 1)) * c) AS v FROM g GROUP BY 1) SELECT r.symbol, count(*) AS n, {s6('avg(x)')} AS mean, {s6('avg(x) / sqrt(greatest(sum(r * r) / count(*) + coalesce(any_value(v.v), 0), 1e-18) / count(*))')} AS t_hac FROM r LEFT JOIN v USING (symbol) GROUP BY 1",
+)(lambda spark, d: newey_west(P.features(P.cleaned(spark, d)).where("ret_1 is not null"), ["symbol"], "ret_1", "ts").select("symbol", "n", r6(F.col("mean")).alias("mean"), r6(F.col("t_hac")).alias("t_hac")))
 register(
     "portfolio_agg",
     "SELECT date_trunc('month', o_orderdate) AS month, o_orderpriority, count(*) AS n, round(sum(o_totalprice), 2) + 0.0 AS total FROM orders GROUP BY 1, 2",
@@ -434,13 +448,33 @@ def _klines(e: DataFrame) -> DataFrame:
     return parse_klines(raw, F.col("event_type")).select("symbol", "ts", "close", "volume")
 
 
-@register("stream_bars")
-def stream_bars_closed(spark: SparkSession, d: str) -> DataFrame:
-    """The bars that a stream over the events has closed by its end."""
-    name = "bars_" + uuid.uuid4().hex
-    query = stream_bars(event_stream(spark, d)).writeStream.outputMode("append").format("memory").queryName(name).trigger(availableNow=True).start()
+def _drained(spark: SparkSession, stream: DataFrame, name: str) -> DataFrame:
+    """What a stream has written by its end: Parquet, with its checkpoint beside it, in the shared folder."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="spark-stream-")
+    folder = f"{base}/{name}-{uuid.uuid4().hex}"
+    query = stream.writeStream.outputMode("append").format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.table(name)
+    return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
+
+
+_CLOSED = "HAVING date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE"
+
+
+@register("stream_bars", f"SELECT event_type AS symbol, date_trunc('hour', ts) AS ts, arg_min(value, struct_pack(a := ts, b := event_id)) AS open, max(value) AS high, min(value) AS low, arg_max(value, struct_pack(a := ts, b := event_id)) AS close, count(*) AS volume FROM events GROUP BY 1, 2 {_CLOSED.replace('HAVING date_trunc(' + chr(39) + 'hour' + chr(39) + ', ts)', 'HAVING date_trunc(' + chr(39) + 'hour' + chr(39) + ', events.ts)')}")
+def stream_bars_closed(spark: SparkSession, d: str) -> DataFrame:
+    """The bars that a stream over the events has closed by its end: those whose end the watermark, ten minutes behind the last event, has passed."""
+    return _drained(spark, stream_bars(event_stream(spark, d)), "bars").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+@register("stream_dedupe", "SELECT DISTINCT user_id, event_type, date_trunc('day', ts) AS day FROM events")
+def stream_dedupe_days(spark: SparkSession, d: str) -> DataFrame:
+    """One row per user, type and day, by a stream that forgets a key 30 days behind the last event."""
+    keyed = event_stream(spark, d).withColumn("day", F.date_trunc("DAY", "ts"))
+    return _drained(spark, stream_dedupe(keyed, ["user_id", "event_type", "day"], "30 days"), "dedupe").select("user_id", "event_type", F.col("day").cast("timestamp_ntz").alias("day"))
 
 
 def queries() -> dict[str, Query]:

@@ -174,20 +174,37 @@ def two_stage_fdr(spark: SparkSession, d: str) -> DataFrame:
     return bh_adjust(p, "p", "q", ["family"]).join(families, "family").select("family", "id", r6(F.col("family_q")).alias("family_q"), r6(F.when(F.col("family_q") <= 0.2, F.col("q")).otherwise(1.0)).alias("q"))
 
 
-register(
+@register(
     "monthly_topn_universe",
-    "SELECT month, o_custkey, k FROM (SELECT date_trunc('month', o_orderdate) AS month, o_custkey, row_number() OVER (PARTITION BY date_trunc('month', o_orderdate) ORDER BY round(sum(o_totalprice), 2) DESC, o_custkey) AS k FROM orders GROUP BY 1, 2) WHERE k <= 5",
-)(
-    lambda spark, d: P.table(spark, d, "orders").groupBy(F.date_trunc("MONTH", "o_orderdate").cast("timestamp_ntz").alias("month"), "o_custkey").agg(F.round(F.sum("o_totalprice"), 2).alias("v")).withColumn("k", F.row_number().over(Window.partitionBy("month").orderBy(F.desc("v"), "o_custkey")).cast("long")).where("k <= 5").select("month", "o_custkey", "k")
-)
+    "WITH m AS (SELECT DISTINCT date_trunc('month', o_orderdate) AS month FROM orders), d AS (SELECT date_trunc('day', o_orderdate) AS day, o_custkey, round(sum(o_totalprice), 2) AS v FROM orders GROUP BY 1, 2), s AS (SELECT m.month, d.o_custkey, round(sum(v), 2) AS v FROM m JOIN d ON d.day >= m.month - INTERVAL 30 DAY AND d.day < m.month GROUP BY 1, 2), "
+    "seed AS (SELECT o_custkey FROM (SELECT o_custkey, row_number() OVER (ORDER BY min(o_orderdate), o_custkey) AS k FROM orders GROUP BY 1) WHERE k <= 5), e AS (SELECT month, o_custkey, v FROM s UNION ALL SELECT month, o_custkey, -1 AS v FROM m, seed WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.month = m.month AND s.o_custkey = seed.o_custkey)) "
+    "SELECT month, o_custkey, k FROM (SELECT month, o_custkey, row_number() OVER (PARTITION BY month ORDER BY v DESC, o_custkey) AS k FROM e) WHERE k <= 5",
+)
+def monthly_topn_universe(spark: SparkSession, d: str, top: int = 5, look_back: int = 30) -> DataFrame:
+    """The five customers of each month with the most in the 30 days before it; the earliest five customers fill months that lack some.
+
+    A day's sum goes to the months that begin within the 30 days after it, one or two, so days and months are not paired.
+    """
+    orders = P.table(spark, d, "orders")
+    month = lambda c: F.date_trunc("MONTH", c).cast("timestamp_ntz")
+    months = orders.select(month(F.col("o_orderdate")).alias("month")).distinct()
+    daily = orders.groupBy(F.date_trunc("DAY", "o_orderdate").cast("timestamp_ntz").alias("day"), "o_custkey").agg(F.round(F.sum("o_totalprice"), 2).alias("v"))
+    later = F.filter(F.array(*[month(F.add_months("day", i)) for i in (1, 2)]), lambda x: x <= F.col("day") + F.make_dt_interval(days=F.lit(look_back)))
+    sums = daily.select("o_custkey", "v", F.explode(later).alias("month")).groupBy("month", "o_custkey").agg(F.round(F.sum("v"), 2).alias("v")).join(F.broadcast(months), "month")
+    seed = orders.groupBy("o_custkey").agg(F.min("o_orderdate").alias("t")).orderBy("t", "o_custkey").limit(top).select("o_custkey")
+    fill = months.crossJoin(F.broadcast(seed)).join(sums.select("month", "o_custkey"), ["month", "o_custkey"], "left_anti").select("month", "o_custkey", F.lit(-1.0).alias("v"))
+    ranked = sums.select("month", "o_custkey", "v").unionByName(fill).withColumn("k", F.row_number().over(Window.partitionBy("month").orderBy(F.desc("v"), "o_custkey")).cast("long"))
+    return ranked.where(F.col("k") <= top).select("month", "o_custkey", "k")
+
+
 register("listing_snapshot", "SELECT l_suppkey, min(l_shipdate) AS first_ts, max(l_shipdate) AS last_ts, max(l_shipdate) >= (SELECT max(l_shipdate) FROM lineitem) - INTERVAL 7 DAY AS active FROM lineitem GROUP BY 1")(
     lambda spark, d: P.table(spark, d, "lineitem").groupBy("l_suppkey").agg(F.min("l_shipdate").alias("first_ts"), F.max("l_shipdate").alias("last_ts")).join(F.broadcast(P.table(spark, d, "lineitem").agg(F.max("l_shipdate").alias("z")))).select("l_suppkey", "first_ts", "last_ts", (F.col("last_ts") >= F.col("z") - F.expr("interval 7 days")).alias("active"))
 )
 register("tail_report", f"{FEAT}, r AS (SELECT symbol, ret_1, row_number() OVER (PARTITION BY symbol ORDER BY ret_1 DESC, ts) AS k, count(*) OVER (PARTITION BY symbol) AS n FROM feat WHERE ret_1 IS NOT NULL) SELECT symbol, {s6('sum(CASE WHEN k <= ceil(0.05 * n) THEN ret_1 ELSE 0 END) / sum(ret_1)')} AS top5_share FROM r GROUP BY symbol")(
     lambda spark, d: feat(spark, d).where("ret_1 is not null").withColumns({"k": F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("ret_1"), "ts")), "n": F.count("*").over(Window.partitionBy("symbol"))}).groupBy("symbol").agg(r6(F.sum(F.when(F.col("k") <= F.ceil(F.lit(0.05) * F.col("n")), F.col("ret_1")).otherwise(0.0)) / F.sum("ret_1")).alias("top5_share"))
 )
-register("year_stability", f"{FEAT}, y AS (SELECT symbol, day(ts) AS d, avg(ret_1) AS m FROM feat WHERE ret_1 IS NOT NULL GROUP BY 1, 2) SELECT symbol, count(*) AS n, {s6('avg(CASE WHEN m > 0 THEN 1.0 ELSE 0.0 END)')} AS positive_share FROM y GROUP BY symbol")(
-    lambda spark, d: feat(spark, d).where("ret_1 is not null").groupBy("symbol", F.day("ts").alias("d")).agg(F.avg("ret_1").alias("m")).groupBy("symbol").agg(F.count("*").alias("n"), r6(F.avg(F.when(F.col("m") > 0, 1.0).otherwise(0.0))).alias("positive_share"))
+register("year_stability", f"WITH y AS (SELECT l_returnflag, year(l_shipdate) AS y, avg(l_discount) - 0.05 AS m FROM lineitem GROUP BY 1, 2) SELECT l_returnflag, count(*) AS n, {s6('avg(CASE WHEN m > 0 THEN 1.0 ELSE 0.0 END)')} AS positive_share FROM y GROUP BY 1")(
+    lambda spark, d: P.table(spark, d, "lineitem").groupBy("l_returnflag", F.year("l_shipdate").alias("y")).agg((F.avg("l_discount") - 0.05).alias("m")).groupBy("l_returnflag").agg(F.count("*").alias("n"), r6(F.avg(F.when(F.col("m") > 0, 1.0).otherwise(0.0))).alias("positive_share"))
 )
 register("benchmarks", f"{FEAT}, j AS (SELECT a.ret_1 AS x, b.ret_1 AS y FROM feat a JOIN feat b ON a.ts = b.ts WHERE a.symbol = 'click' AND b.symbol = 'view') SELECT count(*) AS n, {s6('regr_slope(y, x)')} AS beta, {s6('regr_r2(y, x)')} AS r2 FROM j WHERE x IS NOT NULL AND y IS NOT NULL")(
     lambda spark, d: feat(spark, d).where("symbol = 'click'").select("ts", F.col("ret_1").alias("x")).join(feat(spark, d).where("symbol = 'view'").select("ts", F.col("ret_1").alias("y")), "ts").where("x is not null and y is not null").agg(F.count("*").alias("n"), r6(F.regr_slope("y", "x")).alias("beta"), r6(F.regr_r2("y", "x")).alias("r2"))
