@@ -97,7 +97,8 @@ def find_contamination(docs: DataFrame, items: DataFrame, window: int = 10, shin
     )
     joined = keyed.join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark")), "left")
     split = joined.select("doc_id", "text", "cases", match_words(F.col("text")).alias("words"))
-    same = lambda c: F.forall(F.sequence(F.lit(0), c["width"] - 1), lambda k: F.get(F.col("words"), c["start"] + k) == F.get(c["words"], k))
+    # the size check names the words a second time, so that their list is not made anew for each comparison
+    same = lambda c: (c["start"] + c["width"] <= F.size("words")) & F.forall(F.sequence(F.lit(0), c["width"] - 1), lambda k: F.get(F.col("words"), c["start"] + k) == F.get(c["words"], k))
     held = split.select("doc_id", "text", F.size("words").alias("n_words"), F.filter("cases", same).alias("cases"))
     hits = F.array_sort(F.array_distinct(F.flatten(F.transform("cases", lambda c: F.sequence(c["start"], c["start"] + c["width"] - 1)))))
     names = F.array_sort(F.array_distinct(F.flatten(F.transform("cases", lambda c: c["items"]))))
