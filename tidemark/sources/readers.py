@@ -9,11 +9,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: The exchange's column order of a kline file, and the header names of the other layouts below.
 KLINE = ["open_time", "open", "high", "low", "close", "volume", "close_time", "quote_volume", "trade_count", "taker_base_volume", "taker_quote_volume", "ignore"]
 
 
-def strings(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
-    return spark.read.schema(", ".join(f"{n} string" for n in names)).csv(path)
+def strings(spark: SparkSession, path: str, names: list[str], header: bool = False) -> DataFrame:
+    """CSV files as text columns of the given names; `header` says whether each file begins with a line of names."""
+    return spark.read.schema(", ".join(f"{n} string" for n in names)).option("header", str(header).lower()).csv(path)
 
 
 def number(c: str | Column) -> Column:
@@ -55,12 +57,40 @@ def parse_quotes(raw: DataFrame, symbol: Column) -> DataFrame:
     return raw.select(symbol.alias("symbol"), from_epoch(time, F.lit(True)).alias("ts"), *[first_number(raw, n).alias(c) for c, n in names.items()]).dropna()
 
 
+def by_magnitude(time: Column) -> Column:
+    """A time from seconds or milliseconds since 1970, told apart by the row's own size (the limit is the year 5138)."""
+    return F.when(time > 1e11, F.timestamp_millis(time.cast("long"))).otherwise(F.timestamp_seconds(time)).cast("timestamp_ntz")
+
+
+def parse_mark_price(raw: DataFrame, symbol: Column) -> DataFrame:
+    """(symbol, ts, mark_price): the close of kline rows."""
+    df = raw.select(symbol.alias("symbol"), number("open_time").alias("_t"), number("close").alias("mark_price")).dropna(subset=["_t", "mark_price"])
+    return df.select("symbol", from_epoch(F.col("_t"), F.lit(True)).alias("ts"), "mark_price")
+
+
 def parse_liquidations(raw: DataFrame, symbol: Column) -> DataFrame:
-    """Side, quantity, price and notional (given, or quantity times price); exact repeats go."""
-    quantity, price = first_number(raw, ["last_fill_quantity", "original_quantity", "quantity"]), first_number(raw, ["average_price", "price"])
-    side = F.upper(F.trim("side"))
-    df = raw.select(symbol.alias("symbol"), from_epoch(first_number(raw, ["time", "timestamp"]), F.lit(True)).alias("ts"), F.when(side.isin("BUY", "B"), "BUY").when(side.isin("SELL", "S"), "SELL").otherwise(side).alias("side"), quantity.alias("quantity"), price.alias("price"), F.coalesce(first_number(raw, ["notional"]), F.abs(quantity * price)).alias("notional"))
-    return df.dropna(subset=["ts", "notional"]).dropDuplicates(["symbol", "ts", "side", "quantity", "price"])
+    """Side, quantity, price and notional (given, or quantity times price); rows of no known side and exact repeats go."""
+    quantity = first_number(raw, ["last_fill_quantity", "accumulated_fill_quantity", "original_quantity", "quantity"])
+    price = first_number(raw, ["average_price", "price"])
+    given = F.upper(F.trim("side"))
+    side = F.when(given.isin("BUY", "B"), "BUY").when(given.isin("SELL", "S"), "SELL")
+    notional = F.coalesce(first_number(raw, ["notional"]), F.abs(quantity * price))
+    df = raw.select(symbol.alias("symbol"), by_magnitude(first_number(raw, ["time", "timestamp"])).alias("ts"), side.alias("side"), quantity.alias("quantity"), price.alias("price"), notional.alias("notional"))
+    return df.dropna(subset=["ts", "side", "notional"]).dropDuplicates(["symbol", "ts", "side", "quantity", "price"])
+
+
+def parse_open_interest(raw: DataFrame, symbol: Column) -> DataFrame:
+    """(symbol, ts, open_interest) from snake or camel case headers and text or epoch times; of a time's rows the largest stays."""
+    value = first_number(raw, ["sum_open_interest", "sumOpenInterest", "open_interest", "openInterest"])
+    text = [F.col(c).try_cast("timestamp_ntz") for c in ("create_time", "timestamp", "time") if c in raw.columns]
+    ts = F.coalesce(*text, by_magnitude(first_number(raw, ["timestamp", "time"])))
+    return raw.select(symbol.alias("symbol"), ts.alias("ts"), value.alias("open_interest")).dropna().groupBy("symbol", "ts").agg(F.max("open_interest").alias("open_interest"))
+
+
+def parse_onchain(raw: DataFrame, names: dict[str, str], suffix: str) -> DataFrame:
+    """(symbol, ts, netflow_coin, mcap_usd); an asset's symbol is the mapped one, else the asset with the suffix."""
+    mapped = F.create_map(*[F.lit(x) for kv in names.items() for x in kv])[F.col("asset")]
+    return raw.select(F.coalesce(mapped, F.concat("asset", F.lit(suffix))).alias("symbol"), F.col("ts_event").alias("ts"), number("netflow_coin").alias("netflow_coin"), number("mcap_usd").alias("mcap_usd"))
 
 
 def overlay(*tables: DataFrame, keys: tuple[str, ...] = ("symbol", "ts")) -> DataFrame:
