@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import partial
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import frames
 from ..functions.frames import clip, quantile, ratio
@@ -197,11 +199,23 @@ def pq(name: str, q: float) -> str:
     return f"{name}_pq{round(q * 1000)}"
 
 
-def thresholds(df: DataFrame) -> DataFrame:
-    past = W().rowsBetween(-96, -1)
-    enough = {x: F.when(F.count(x).over(past) >= 24, F.percentile(x, F.array(*map(F.lit, qs))).over(past)) for x, qs in THRESHOLDS.items()}
-    df = df.withColumns({f"{x}_past": c for x, c in enough.items()})
-    return df.withColumns({pq(x, q): F.get(f"{x}_past", i) for x, qs in THRESHOLDS.items() for i, q in enumerate(qs)})
+def thresholds(df: DataFrame, rows: int = 96, least: int = 24) -> DataFrame:
+    """A chunked panel with its thresholds, by pandas' rolling quantiles in each chunk (at most CHUNK + BEFORE + AFTER bars).
+
+    An exact percentile over a sliding frame sorts the frame anew for each bar; the rolling form moves one value in and
+    one out.
+    """
+    new = [T.StructField(pq(x, q), T.DoubleType()) for x, qs in THRESHOLDS.items() for q in qs]
+
+    def run(bars: pd.DataFrame) -> pd.DataFrame:
+        bars = bars.sort_values("ts")
+        found = {}
+        for x, qs in THRESHOLDS.items():
+            past = bars[x].shift(1).rolling(rows, min_periods=least)
+            found |= {pq(x, q): past.quantile(q) for q in qs}
+        return pd.concat([bars, pd.DataFrame(found, index=bars.index)], axis=1)
+
+    return df.groupBy(*KEYS).applyInPandas(run, T.StructType([*df.schema.fields, *new]))
 
 
 def thresholds_sql() -> str:
