@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.frames import first_column, ratio
@@ -37,14 +37,16 @@ def through_csv(spark: SparkSession, df: DataFrame, name: str, header: bool) ->
     return strings(spark, path, df.columns, header)
 
 
-_MS = F.unix_millis(F.col("ts").cast("timestamp"))
+def millis() -> Column:
+    return F.unix_millis(F.col("ts").cast("timestamp"))
+
 
 # --- sources: events written in each raw layout, and read back by its parser ------------------------------
 
 
 @register("src_mark_price", "SELECT event_type AS symbol, date_trunc('milliseconds', ts) AS ts, value AS mark_price FROM events")
 def src_mark_price(spark: SparkSession, d: str) -> DataFrame:
-    raw = P.table(spark, d, "events").select(F.col("event_type").alias("symbol"), _MS.alias("open_time"), *[F.col("value").alias(c) for c in ("open", "high", "low", "close")], F.lit(0).alias("volume"))
+    raw = P.table(spark, d, "events").select(F.col("event_type").alias("symbol"), millis().alias("open_time"), *[F.col("value").alias(c) for c in ("open", "high", "low", "close")], F.lit(0).alias("volume"))
     back = through_csv(spark, raw, "mark", False)
     return parse_mark_price(back, F.col("symbol"))
 
@@ -52,7 +54,7 @@ def src_mark_price(spark: SparkSession, d: str) -> DataFrame:
 @register("src_quotes", "SELECT event_type AS symbol, date_trunc('milliseconds', ts) AS ts, value - 0.5 AS bid_price, 1.0 AS bid_qty, value + 0.5 AS ask_price, CAST(user_id AS DOUBLE) AS ask_qty FROM events")
 def src_quotes(spark: SparkSession, d: str) -> DataFrame:
     v = F.col("value")
-    raw = P.table(spark, d, "events").select("event_type", (v - 0.5).alias("best_bid_price"), F.lit(1.0).alias("best_bid_qty"), (v + 0.5).alias("best_ask_price"), F.col("user_id").alias("best_ask_qty"), _MS.alias("transaction_time"), F.lit(None).cast("long").alias("event_time"))
+    raw = P.table(spark, d, "events").select("event_type", (v - 0.5).alias("best_bid_price"), F.lit(1.0).alias("best_bid_qty"), (v + 0.5).alias("best_ask_price"), F.col("user_id").alias("best_ask_qty"), millis().alias("transaction_time"), F.lit(None).cast("long").alias("event_time"))
     return parse_quotes(through_csv(spark, raw, "quotes", True), F.col("event_type"))
 
 

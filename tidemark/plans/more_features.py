@@ -56,9 +56,8 @@ def robust_z(x: str, name: str, rows: int = 24) -> list:
     """Levels that end in the robust z of x: the frame's values clipped to its 1 and 99 % quantiles, then the distance of
     the last from their median in median absolute deviations."""
     a, lo, hi, w, m, d = (f"{name}_{k}" for k in ("all", "lo", "hi", "cut", "mid", "mad"))
-    frame = W().rowsBetween(-(rows - 1), 0)
     return [
-        {a: (lambda: F.collect_list(x).over(frame), f"list({x}) FILTER (WHERE {x} IS NOT NULL) {over(rows)}")},
+        {a: (lambda: F.collect_list(x).over(W().rowsBetween(-(rows - 1), 0)), f"list({x}) FILTER (WHERE {x} IS NOT NULL) {over(rows)}")},
         {lo: (lambda: array_quantile(F.col(a), 0.01), f"list_aggregate({a}, 'quantile_cont', 0.01)"), hi: (lambda: array_quantile(F.col(a), 0.99), f"list_aggregate({a}, 'quantile_cont', 0.99)")},
         {w: (lambda: F.transform(a, lambda v: F.greatest(F.col(lo), F.least(F.col(hi), v))), f"list_transform({a}, lambda v: greatest({lo}, least({hi}, v)))")},
         {m: (lambda: array_quantile(F.col(w), 0.5), f"list_aggregate({w}, 'median')")},
