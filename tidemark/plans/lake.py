@@ -172,7 +172,7 @@ def _ages(f: DataFrame) -> DataFrame:
 
 _COMPRESSED = {"alone": "ratio_now <= 0.8", "with_trend": "ratio_now <= 0.8 AND abs_trend > 0.5", "low_funding": "ratio_now <= 0.8 AND funding < 0", "high_funding": "ratio_now <= 0.8 AND funding > 0", "oi_rise": "ratio_now <= 0.8 AND oi_delta > 0"}
 _FW = "fw AS (SELECT *, lead(close, 3) OVER w / nullif(close, 0) - 1 AS r3, lead(close, 12) OVER w / nullif(close, 0) - 1 AS r12 FROM feat WINDOW w AS (PARTITION BY symbol ORDER BY ts))"
-register("compression_conditions", f"{FEAT}, {_FW} " + " UNION ALL ".join(f"SELECT '{n}' AS condition_name, {h} AS horizon, count(r{h}) AS n, {s6(f'avg(r{h})')} AS mean, {s6(f'quantile_cont(r{h}, 0.5)')} AS median FROM fw WHERE {c}" for n, c in _COMPRESSED.items() for h in (3, 12)))(
+register("compression_conditions", f"{FEAT}, {_FW} " + " UNION ALL ".join(f"SELECT '{n}' AS condition_name, {h} AS horizon, count(r{h}) AS n, {s6(f'avg(r{h})')} AS mean, {s6(f'quantile_cont(r{h}, 0.5)')} AS median FROM fw WHERE {c} HAVING count(*) > 0" for n, c in _COMPRESSED.items() for h in (3, 12)))(
     lambda spark, d: _compression(feat(spark, d))
 )
 
