@@ -10,6 +10,7 @@ from ..operators.align import asof_join, keep_one
 from ..operators.pooling import unit_moments
 from ..operators.testing import bh_adjust
 from . import panel as P
+from . import statistics  # noqa: F401  (hazard_summary takes its hazard_curve)
 from .more_features import FEAT, wide, wide_sql
 from .panel import lagged, over
 from .queries import _LABELLED_SQL, detect, oracle_sql, queries, r6, register, s6  # noqa: F401
@@ -462,3 +463,74 @@ def _lifts(line: DataFrame) -> DataFrame:
     p = line.groupBy((F.col("l_partkey") % 500).alias("id"), (F.col("l_suppkey") % 10).alias("family")).agg(F.avg("l_discount").alias("x"), F.round(F.count("*") / (1.0 + F.sum("l_quantity")), 6).alias("p"))
     q = bh_adjust(p, "p", "q", ["family"])
     return q.select("family", "id", r6(F.col("x") - F.avg("x").over(Window.partitionBy("family"))).alias("lift"), (F.col("q") <= 0.1).alias("rejected"))
+
+
+# --- further statistics --------------------------------------------------------------------------------
+
+register("fwd_abs_return", f"{wide_sql(_FWD)}, c AS (SELECT symbol, avg(abs(fwd_15m)) AS control FROM wide WHERE spread_z <= 1 GROUP BY 1) SELECT w.symbol, ts, {s6('abs(fwd_15m)')} AS abs_return, {s6('abs(fwd_15m) - control')} AS excess FROM wide w JOIN c USING (symbol) WHERE spread_z > 1")(
+    lambda spark, d: _absolute(wide(spark, d, _FWD))
+)
+
+
+def _absolute(df: DataFrame) -> DataFrame:
+    """Absolute forward returns of events, and what they have over the mean of the symbol's other bars."""
+    control = df.where("spread_z <= 1").groupBy("symbol").agg(F.avg(F.abs("fwd_15m")).alias("control"))
+    return df.where("spread_z > 1").join(control, "symbol").select("symbol", "ts", r6(F.abs("fwd_15m")).alias("abs_return"), r6(F.abs("fwd_15m") - F.col("control")).alias("excess"))
+
+
+register("split_pnl", f"{wide_sql(_NEXT)}, b AS (SELECT min(ts) AS a, max(ts) AS z FROM wide), s AS (SELECT symbol, pnl, abs(pos - held) * 0.0006 AS cost, CASE WHEN epoch_us(ts) < epoch_us(a) + (epoch_us(z) - epoch_us(a)) * 0.6 THEN 'train' ELSE 'test' END AS split_label FROM wide, b) SELECT symbol, split_label, {s6('sum(pnl)')} AS pnl, {s6('sum(pnl - 1.5 * cost)')} AS stressed_pnl, {s6('sum(cost) / nullif(sum(abs(pnl)), 0)')} AS cost_ratio, {s6('avg(CASE WHEN pnl > 0 THEN 1.0 ELSE 0.0 END)')} AS pass_rate FROM s GROUP BY 1, 2")(
+    lambda spark, d: _split_pnl(wide(spark, d, _NEXT))
+)
+
+
+def _split_pnl(df: DataFrame) -> DataFrame:
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    ends = df.agg(F.min("ts").alias("a"), F.max("ts").alias("z"))
+    df = df.join(F.broadcast(ends)).withColumns({"cost": F.abs(F.col("pos") - F.col("held")) * 0.0006, "split_label": F.when(micros("ts") < micros("a") + (micros("z") - micros("a")) * 0.6, "train").otherwise("test")})
+    return df.groupBy("symbol", "split_label").agg(
+        r6(F.sum("pnl")).alias("pnl"), r6(F.sum(F.col("pnl") - 1.5 * F.col("cost"))).alias("stressed_pnl"), r6(F.sum("cost") / F.nullif(F.sum(F.abs("pnl")), F.lit(0.0))).alias("cost_ratio"), r6(F.avg(F.when(F.col("pnl") > 0, 1.0).otherwise(0.0))).alias("pass_rate")
+    )
+
+
+#: Days that a family's evidence lasts, and what volatility and liquidity do to them.
+TAU_DAYS = {"click": 15.0, "view": 30.0, "purchase": 60.0, "signup": 90.0}
+register(
+    "regime_tau",
+    f"{FEAT} SELECT symbol, ts, round(CASE symbol {' '.join(f'WHEN {chr(39)}{k}{chr(39)} THEN {v}' for k, v in TAU_DAYS.items())} ELSE 60.0 END * CASE WHEN rv_z > 3 THEN 0.4 WHEN rv_z > 1 THEN 0.7 WHEN rv_z < -1 THEN 1.4 ELSE 1.0 END * CASE WHEN quote_volume < 0.5 * vol_med THEN 0.6 ELSE 1.0 END, 6) + 0.0 AS tau_days FROM feat",
+)(lambda spark, d: _taus(feat(spark, d)))
+
+
+def _taus(df: DataFrame) -> DataFrame:
+    base = F.coalesce(F.create_map(*[F.lit(x) for kv in TAU_DAYS.items() for x in kv])[F.col("symbol")], F.lit(60.0))
+    vol = F.when(F.col("rv_z") > 3, 0.4).when(F.col("rv_z") > 1, 0.7).when(F.col("rv_z") < -1, 1.4).otherwise(1.0)
+    return df.select("symbol", "ts", r6(base * vol * F.when(F.col("quote_volume") < 0.5 * F.col("vol_med"), 0.6).otherwise(1.0)).alias("tau_days"))
+
+
+register(
+    "lambda_carryover",
+    f"WITH y AS (SELECT l_returnflag AS level, year(l_shipdate) AS run, var_samp(l_discount) / greatest(abs(avg(l_discount) - 0.05), 1e-8) AS lam FROM lineitem GROUP BY 1, 2), c AS (SELECT level, run, greatest(5.0, least(5000.0, lam)) AS lam FROM y), p AS (SELECT *, lag(lam) OVER (PARTITION BY level ORDER BY run) AS prev FROM c) "
+    f"SELECT level, run, {s6('coalesce(greatest(0.5 * prev, least(1.5 * prev, 0.9 * prev + 0.1 * lam)), lam)')} AS smoothed FROM p",
+)(lambda spark, d: _carried(P.table(spark, d, "lineitem")))
+
+
+def _carried(line: DataFrame) -> DataFrame:
+    """Each run's lambda drawn a tenth of the way from the latest run before it, and within half of that one."""
+    y = line.groupBy(F.col("l_returnflag").alias("level"), F.year("l_shipdate").cast("long").alias("run")).agg((F.var_samp("l_discount") / F.greatest(F.abs(F.avg("l_discount") - 0.05), F.lit(1e-8))).alias("lam"))
+    lam = F.greatest(F.lit(5.0), F.least(F.lit(5000.0), F.col("lam")))
+    y = y.withColumn("lam", lam).withColumn("prev", F.lag("lam").over(Window.partitionBy("level").orderBy("run")))
+    drawn = F.greatest(0.5 * F.col("prev"), F.least(1.5 * F.col("prev"), 0.9 * F.col("prev") + 0.1 * F.col("lam")))
+    return y.select("level", "run", r6(F.when(F.col("prev").isNull(), F.col("lam")).otherwise(drawn)).alias("smoothed"))
+
+
+register("curvature", f"{wide_sql(_FWD)}, c AS (SELECT w.symbol, k, avg(fwd_15m) AS m FROM wide w, (SELECT unnest([0.9, 1.0, 1.1]) AS k) WHERE spread_z > 1.5 * k AND fwd_15m IS NOT NULL GROUP BY 1, 2) SELECT symbol, {s6('max(CASE WHEN k < 0.95 THEN m END)')} AS loose, {s6('max(CASE WHEN k BETWEEN 0.95 AND 1.05 THEN m END)')} AS base, {s6('max(CASE WHEN k > 1.05 THEN m END)')} AS tight FROM c GROUP BY 1")(
+    lambda spark, d: wide(spark, d, _FWD).where("spread_z > 1.5 * 0.9 and fwd_15m is not null").groupBy("symbol").agg(*[r6(F.avg(F.when(F.col("spread_z") > 1.5 * k, F.col("fwd_15m")))).alias(n) for n, k in (("loose", 0.9), ("base", 1.0), ("tight", 1.1))])
+)
+_HAZ = f"{P.CLEANED_SQL}, b AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS bar FROM cleaned), h AS (SELECT symbol, first_value(CASE WHEN close > 300 THEN bar END IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 1 FOLLOWING AND 24 FOLLOWING) - bar AS age FROM b), hz AS (SELECT h.symbol, a.age, avg(CASE WHEN h.age = a.age THEN 1.0 ELSE 0.0 END) AS hazard FROM h JOIN (SELECT unnest(range(1, 25)) AS age) a ON h.age IS NULL OR h.age >= a.age GROUP BY 1, 2)"
+register("hazard_summary", f"WITH {_HAZ} SELECT symbol, {s6('max(hazard)')} AS peak, {s6('avg(CASE WHEN age <= 8 THEN hazard END)')} AS front, {s6('avg(CASE WHEN age > 16 THEN hazard END)')} AS late, {s6('sum(hazard)')} AS auc FROM hz GROUP BY 1")(
+    lambda spark, d: _hazards(queries()["hazard_curve"](spark, d))
+)
+
+
+def _hazards(curve: DataFrame) -> DataFrame:
+    rate = F.col("n_hits") / F.col("at_risk")
+    return curve.groupBy("symbol").agg(r6(F.max(rate)).alias("peak"), r6(F.avg(F.when(F.col("age") <= 8, rate))).alias("front"), r6(F.avg(F.when(F.col("age") > 16, rate))).alias("late"), r6(F.sum(rate)).alias("auc"))
