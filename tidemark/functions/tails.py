@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
@@ -40,6 +41,12 @@ def normal_cdf(x: pd.Series) -> pd.Series:
     return x.map(lambda v: 0.5 * math.erfc(-v / math.sqrt(2)), na_action="ignore").astype(float)
 
 
+@F.pandas_udf(DoubleType())
+def normal_quantile(p: pd.Series) -> pd.Series:
+    """The standard normal's quantile of shares, kept 1e-6 away from 0 and 1."""
+    return p.clip(1e-6, 1 - 1e-6).map(NormalDist().inv_cdf, na_action="ignore").astype(float)
+
+
 @F.pandas_udf(DoubleType())
 def normal_two_sided(t: pd.Series) -> pd.Series:
     return t.map(lambda v: math.erfc(abs(v) / math.sqrt(2)), na_action="ignore").astype(float)

@@ -317,12 +317,24 @@ register(
 )(
     lambda spark, d: P.features(P.cleaned(spark, d)).where("bar_range is not null").select("symbol", F.floor(F.hour("ts") / 8).alias("session"), "bar_range").cube("symbol", "session").agg(F.count("*").alias("n"), r6(F.percentile("bar_range", F.lit(0.5))).alias("median"), r6(F.percentile("bar_range", F.lit(0.75))).alias("p75"))
 )
+_LAGS = range(1, 11)
+_RHOS = " + ".join(f"CASE WHEN count(*) // 10 >= {k} AND isfinite(corr(x, x{k})) THEN corr(x, x{k}) ELSE 0 END" for k in _LAGS)
 register(
     "ess_autocorr",
-    f"WITH {P.features_sql()}, l AS (SELECT symbol, ret_1 AS x, {', '.join(f'lag(ret_1, {k}) OVER (PARTITION BY symbol ORDER BY ts) AS x{k}' for k in (1, 2, 3))} FROM feat WHERE ret_1 IS NOT NULL) SELECT symbol, count(*) AS n, {s6('count(*) / (1 + 2 * (corr(x, x1) + corr(x, x2) + corr(x, x3)))')} AS ess FROM l GROUP BY symbol",
-)(
-    lambda spark, d: P.features(P.cleaned(spark, d)).where("ret_1 is not null").select("symbol", F.col("ret_1").alias("x"), *[F.lag("ret_1", k).over(W()).alias(f"x{k}") for k in (1, 2, 3)]).groupBy("symbol").agg(F.count("*").alias("n"), r6(F.count("*") / (1 + 2 * sum((F.corr("x", f"x{k}") for k in (1, 2, 3)), F.lit(0.0)))).alias("ess"))
-)
+    f"""WITH {P.features_sql()}, l AS (SELECT symbol, ret_1 AS x, {', '.join(f'lag(ret_1, {k}) OVER (PARTITION BY symbol ORDER BY ts) AS x{k}' for k in _LAGS)} FROM feat WHERE ret_1 IS NOT NULL)
+SELECT symbol, count(*) AS n, {s6(f'greatest(0.0, least(count(*), count(*) / greatest(1e-6, 1 + 2 * ({_RHOS}))))')} AS ess FROM l GROUP BY symbol""",
+)(lambda spark, d: effective_size(P.features(P.cleaned(spark, d)).where("ret_1 is not null"), "ret_1"))
+
+
+def effective_size(series: DataFrame, value: str, most: int = _LAGS[-1]) -> DataFrame:
+    """n / (1 + 2 sum of autocorrelations) over at most `most` and a tenth of n lags, within 0 and n."""
+    x, n = F.col(value), F.count("*")
+    lags = series.select("symbol", x.alias("x"), *[F.lag(x, k).over(W()).alias(f"x{k}") for k in range(1, most + 1)])
+    rho = lambda k: F.when(n >= 10 * k, F.coalesce(F.nanvl(F.corr("x", f"x{k}"), F.lit(0.0)), F.lit(0.0))).otherwise(0.0)
+    size = n / F.greatest(F.lit(1e-6), 1 + 2 * sum((rho(k) for k in range(1, most + 1)), F.lit(0.0)))
+    return lags.groupBy("symbol").agg(n.alias("n"), r6(F.greatest(F.lit(0.0), F.least(n.cast("double"), size))).alias("ess"))
+
+
 register(
     "cum_pnl_drawdown",
     f"WITH {P.features_sql()}, c AS (SELECT symbol, ts, sum(coalesce(score * ret_1, 0)) OVER (PARTITION BY symbol ORDER BY ts ROWS UNBOUNDED PRECEDING) AS cum FROM feat) SELECT symbol, ts, {s6('cum')} AS cum_pnl, {s6('cum - max(cum) OVER (PARTITION BY symbol ORDER BY ts ROWS UNBOUNDED PRECEDING)')} AS drawdown FROM c",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.frames import ordered, zscore
@@ -101,15 +101,21 @@ _HIT = "first_value(CASE WHEN close > 300 THEN bar END IGNORE NULLS) OVER (PARTI
     f"SELECT h.symbol, CAST(a.age AS INTEGER) AS age, count(*) AS at_risk, sum(CASE WHEN h.age = a.age THEN 1 ELSE 0 END)::BIGINT AS n_hits, {s6('avg(CASE WHEN h.age = a.age THEN 1.0 ELSE 0.0 END)')} AS hazard FROM h JOIN a ON h.age IS NULL OR h.age >= a.age GROUP BY 1, 2",
 )
 def hazard_curve(spark: SparkSession, d: str) -> DataFrame:
-    """Hits per age; those at risk are what a running sum from the oldest age leaves, so ages are not exploded."""
-    df = P.cleaned(spark, d).withColumn("bar", F.row_number().over(W()).cast("long"))
-    age = (F.first(F.when(F.col("close") > 300, F.col("bar")), ignorenulls=True).over(W().rowsBetween(1, 24)) - F.col("bar")).cast("int")
+    curve = hazards(P.cleaned(spark, d), F.col("close") > 300)
+    return curve.select("symbol", "age", "at_risk", "n_hits", r6(F.col("n_hits") / F.col("at_risk")).alias("hazard"))
+
+
+def hazards(bars: DataFrame, hit: Column, ages: int = 24) -> DataFrame:
+    """(symbol, age, at_risk, n_hits) of the bars until the next hit; those at risk are what a running sum from the oldest age
+    leaves, so ages are not exploded."""
+    df = bars.withColumn("bar", F.row_number().over(W()).cast("long"))
+    age = (F.first(F.when(hit, F.col("bar")), ignorenulls=True).over(W().rowsBetween(1, ages)) - F.col("bar")).cast("int")
     hits = df.select("symbol", age.alias("age")).groupBy("symbol", "age").agg(F.count("*").alias("n"))
-    grid = hits.select("symbol").distinct().select("symbol", F.explode(F.sequence(F.lit(1), F.lit(24))).alias("age"))
+    grid = hits.select("symbol").distinct().select("symbol", F.explode(F.sequence(F.lit(1), F.lit(ages))).alias("age"))
     never = hits.where("age is null").select("symbol", F.col("n").alias("never"))
     full = grid.join(hits.where("age is not null"), ["symbol", "age"], "left").join(never, "symbol", "left").fillna(0, ["n", "never"])
     left = F.sum("n").over(Window.partitionBy("symbol").orderBy(F.desc("age")).rowsBetween(Window.unboundedPreceding, 0)) + F.col("never")
-    return full.withColumn("at_risk", left).where("at_risk > 0").select("symbol", "age", "at_risk", F.col("n").alias("n_hits"), r6(F.col("n") / F.col("at_risk")).alias("hazard"))
+    return full.withColumn("at_risk", left).where("at_risk > 0").select("symbol", "age", "at_risk", F.col("n").alias("n_hits"))
 
 
 @register(

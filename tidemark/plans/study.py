@@ -494,10 +494,8 @@ def _split_pnl(df: DataFrame) -> DataFrame:
 
 #: Days that a family's evidence lasts, and what volatility and liquidity do to them.
 TAU_DAYS = {"click": 15.0, "view": 30.0, "purchase": 60.0, "signup": 90.0}
-register(
-    "regime_tau",
-    f"{FEAT} SELECT symbol, ts, round(CASE symbol {' '.join(f'WHEN {chr(39)}{k}{chr(39)} THEN {v}' for k, v in TAU_DAYS.items())} ELSE 60.0 END * CASE WHEN rv_z > 3 THEN 0.4 WHEN rv_z > 1 THEN 0.7 WHEN rv_z < -1 THEN 1.4 ELSE 1.0 END * CASE WHEN quote_volume < 0.5 * vol_med THEN 0.6 ELSE 1.0 END, 6) + 0.0 AS tau_days FROM feat",
-)(lambda spark, d: _taus(feat(spark, d)))
+_TAU_SQL = f"round(CASE symbol {' '.join(f'WHEN {chr(39)}{k}{chr(39)} THEN {v}' for k, v in TAU_DAYS.items())} ELSE 60.0 END * CASE WHEN rv_z > 3 THEN 0.4 WHEN rv_z > 1 THEN 0.7 WHEN rv_z < -1 THEN 1.4 ELSE 1.0 END * CASE WHEN quote_volume < 0.5 * vol_med THEN 0.6 ELSE 1.0 END, 6) + 0.0"
+register("regime_tau", f"{FEAT} SELECT symbol, ts, {_TAU_SQL} AS tau_days FROM feat")(lambda spark, d: _taus(feat(spark, d)))
 
 
 def _taus(df: DataFrame) -> DataFrame:

@@ -1,9 +1,14 @@
-"""Bars, quote aggregates and de-duplication on streams, with watermarks for late rows."""
+"""Bars, quote aggregates, cool-down and de-duplication on streams, with watermarks for late rows."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState
 
 EVENTS = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
 
@@ -24,3 +29,35 @@ def stream_bars(events: DataFrame, step: str = "1 hour", late: str = "10 minutes
 def stream_dedupe(events: DataFrame, keys: list[str], late: str = "10 minutes") -> DataFrame:
     """The first row of each key within the watermark."""
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(keys)
+
+
+def stream_quotes(quotes: DataFrame, step: str = "5 minutes", late: str = "10 minutes") -> DataFrame:
+    """Closed aggregates of quotes (symbol, ts, spread_bps, depth), sent as stream_bars sends bars."""
+    groups = quotes.withWatermark("ts", late).groupBy(F.window("ts", step), "symbol")
+    sums = groups.agg(F.count("*").alias("n"), F.avg("spread_bps").alias("spread_mean"), F.max("spread_bps").alias("spread_max"), F.avg("depth").alias("depth_mean"), F.min("depth").alias("depth_min"))
+    return sums.select("symbol", F.col("window.start").alias("ts"), "n", "spread_mean", "spread_max", "depth_mean", "depth_min")
+
+
+def stream_cooldown(events: DataFrame, by: str, gap: pd.Timedelta) -> DataFrame:
+    """(by, ts, event_id) of the events that lie `gap` or more after the last one kept of their key; of equal times the smallest id.
+
+    A key's state is the time last kept. Rows of one trigger are sorted; a row older than the last kept time is late and goes.
+    A trigger's times of one key are held at once, so limit its files (maxFilesPerTrigger) where a key is crowded.
+    """
+    wait = gap.value // 1000
+
+    def keep(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(parts)).sort_values(["ts", "event_id"]).reset_index(drop=True)
+        times, kept = rows["ts"].astype("datetime64[us]").astype("int64").to_numpy(), []
+        last = state.get[0] if state.exists else None
+        place = 0 if last is None else int(np.searchsorted(times, last + wait))
+        while place < len(times):
+            kept.append(place)
+            last = int(times[place])
+            place = int(np.searchsorted(times, last + wait))
+        if kept:
+            state.update((last,))
+        yield rows.loc[kept, [by, "ts", "event_id"]]
+
+    rows = events.select(by, "ts", "event_id").where(F.col("ts").isNotNull())
+    return rows.groupBy(by).applyInPandasWithState(keep, rows.schema, "last long", "append", "NoTimeout")
