@@ -18,7 +18,7 @@ def test_stages_decide_what_stays(spark):
     assert packed <= good
     bad = {r.doc_id for r in op8_decontamination(spark, SF).where("contaminated").collect()}
     assert not packed & bad
-    first = near_duplicates(docs.where(F.col("doc_id").isin(list(good))), threshold=pipeline.WITHIN)
+    first = near_duplicates(docs.where(F.col("doc_id").isin(list(good))), threshold=pipeline.WITHIN, shingle=pipeline.SHINGLE)
     assert packed == {r.component_id for r in first.collect()} - bad
     lengths = {}
     for r in out:
