@@ -105,13 +105,14 @@ _NEXT = [{"next_ret": (lambda: ratio(lead("close", 1), F.col("close")) - 1, f"{a
     f"""{wide_sql(_NEXT).replace('WITH', 'WITH RECURSIVE', 1)}, pnl AS (
 """
     + " UNION ALL ".join(f"SELECT symbol || '_{n}' AS series, ts, {sql} * next_ret AS pnl FROM wide" for n, (sql, _) in _PROFITS.items())
-    + """), c AS (SELECT a.series AS a, b.series AS b, abs(corr(a.pnl, b.pnl)) AS r FROM pnl a JOIN pnl b ON a.ts = b.ts GROUP BY 1, 2),
- o AS (SELECT a AS series, row_number() OVER (ORDER BY round(avg(CASE WHEN a <> b THEN r END), 9), a) AS k, coalesce(list(b) FILTER (WHERE a <> b AND r >= 0.3), []) AS near FROM c GROUP BY 1),
+    + """), c AS (SELECT a.series AS a, b.series AS b, CASE WHEN isfinite(corr(a.pnl, b.pnl)) THEN abs(corr(a.pnl, b.pnl)) END AS r FROM pnl a JOIN pnl b ON a.ts = b.ts GROUP BY 1, 2),
+ o AS (SELECT a AS series, row_number() OVER (ORDER BY round(avg(CASE WHEN a <> b THEN r END), 9), a) AS k, coalesce(list(b) FILTER (WHERE a <> b AND r >= 0.3), []) AS near FROM c GROUP BY 1 HAVING count(CASE WHEN a <> b THEN r END) > 0),
  g AS (SELECT 1 AS k, [series] AS got FROM o WHERE k = 1 UNION ALL SELECT o.k, CASE WHEN len(got) < 8 AND NOT list_has_any(near, got) THEN list_append(got, series) ELSE got END FROM g JOIN o ON o.k = g.k + 1)
  SELECT unnest(got) AS series, unnest(range(1, len(got) + 1)) AS place FROM g WHERE k = (SELECT max(k) FROM g)""",
 )
 def greedy_decorrelate(spark: SparkSession, d: str, most_corr: float = 0.3, most: int = 8) -> DataFrame:
     """Profit series taken in the order of their mean correlation, each if none taken before correlates with it by `most_corr` or more.
+    A series that has no correlation with any other (too few common values) is left out.
 
     All correlations are one aggregate over the times; the fold is over the series (the strategies), not over their rows.
     """
@@ -119,10 +120,10 @@ def greedy_decorrelate(spark: SparkSession, d: str, most_corr: float = 0.3, most
     long = wide(spark, d, _NEXT).select("ts", F.explode(made).alias("x")).select("ts", "x.*")
     names = sorted(r[0] for r in long.select("series").distinct().collect())  # one name a strategy
     table = long.groupBy("ts").pivot("series", names).agg(F.first("pnl"))
-    links = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.abs(F.corr(F.col(f"`{a}`"), F.col(f"`{b}`"))).alias("r")) for a, b in combinations(names, 2)]
+    links = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.nanvl(F.abs(F.corr(F.col(f"`{a}`"), F.col(f"`{b}`"))), F.lit(None).cast("double")).alias("r")) for a, b in combinations(names, 2)]
     one = table.agg(F.array(*links).alias("x")).select(F.explode("x").alias("x")).select("x.*")
     both = one.select(F.explode(F.array(F.struct("a", "b", "r"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"), "r"))).alias("x")).select("x.*")
-    near = both.groupBy("a").agg(F.round(F.avg("r"), 9).alias("mean"), F.collect_list(F.when(F.col("r") >= most_corr, F.col("b"))).alias("near"))
+    near = both.groupBy("a").agg(F.round(F.avg("r"), 9).alias("mean"), F.collect_list(F.when(F.col("r") >= most_corr, F.col("b"))).alias("near")).where("mean is not null")
     order = near.agg(F.sort_array(F.collect_list(F.struct("mean", F.col("a").alias("series"), "near"))).alias("all"))
     taken = F.aggregate("all", F.array().cast("array<string>"), lambda got, s: F.when((F.size(got) < most) & ~F.arrays_overlap(got, s["near"]), F.array_append(got, s["series"])).otherwise(got))
     return order.select(F.posexplode(taken).alias("place", "series")).select("series", (F.col("place") + 1).cast("long").alias("place"))
