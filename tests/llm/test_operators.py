@@ -439,6 +439,7 @@ def test_contract_columns(spark):
     known = queries()
     assert sorted(known, key=lambda n: int(n[2:].split("_")[0])) == [
         "op1_substring_dedup", "op2_quality_rules", "op3_toxicity", "op4_packing", "op5_license_scan", "op6_pii", "op7_simhash_near_dedup", "op8_decontamination", "op9_language_id", "op10_quality_classifier",
+        "op11_embedding_whitening", "op12_byte_bpe", "op13_periodic_runs",
     ]
     one = known["op1_substring_dedup"](spark, SF)
     assert one.columns == ["doc_id", "n_words", "n_removed", "kept_sha256"]

@@ -8,16 +8,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .byte_bpe import decode_bytes, encode_bytes
 from .decontaminate import find_contamination
 from .langid import identify_languages
 from .license_scan import scan_licenses
 from .packing import pack_documents
+from .periodic_runs import detect_runs, with_planted_tail
 from .pii import protect
 from .quality_classifier import classify_quality
 from .quality_rules import judge_lines
 from .simhash import near_duplicates
 from .substring_dedup import remove_repeats
 from .toxicity import classify_toxicity
+from .whitening import whiten
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -89,6 +92,24 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from public_tokenizers import PATTERN
+
+    path = tokenizer_path("byte_bpe_50k.tiktoken")
+    both = decode_bytes(encode_bytes(table(spark, sf_dir, "documents"), path, PATTERN), path, PATTERN)
+    return both.select("doc_id", F.expr("octet_length(ids) div 4").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = detect_runs(docs.select("doc_id", with_planted_tail(F.col("doc_id"), F.col("text")).alias("text")))
+    return found.select("doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
