@@ -10,20 +10,13 @@ from ..operators.align import active_on_grid, asof_join, keep_one, runs
 from ..operators.greedy import cool_down, space_out
 from . import panel as P
 from .more_features import FEAT, _true, pct, wide, wide_sql
-from .panel import lagged, over, roll, rolling
+from .panel import lagged, numbered, over, roll, rolling
 from .queries import _HITS_SQL, _KEPT_SQL, detect, oracle_sql, queries, r6, register, s6  # noqa: F401
 
 S = ordered  # whole histories, for sparse rows and running minima
 _BAR = "row_number() OVER (PARTITION BY symbol ORDER BY ts) AS bar"
 
 
-def numbered(df: DataFrame) -> DataFrame:
-    """Adds the bar's number in its symbol, from 1, by time alone (the grid has no holes)."""
-    hours = lambda c: F.unix_micros(c.cast("timestamp"))
-    first = df.groupBy("symbol").agg(F.min("ts").alias("_a"), F.count("*").alias("n_bars"))
-    return df.join(F.broadcast(first), "symbol").withColumn("bar", ((hours(F.col("ts")) - hours(F.col("_a"))) / F.lit(P.STEP_MINUTES * 60_000_000)).cast("long") + 1).drop("_a")
-
-
 def cooled_sql(wait: int, keys: str = "symbol") -> str:
     """Greedy cool-down over `spans` (keys, bar, leave), bar by bar."""
     same = " AND ".join(f"s.{k} = k.{k}" for k in keys.split(", "))

@@ -59,6 +59,16 @@ def cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.withColumns({"is_gap": F.col("close").isNull()} | {c: F.coalesce(c, F.lit(0.0)) for c in ("volume", "quote_volume", "buy_volume")})
 
 
+def numbered(df: DataFrame) -> DataFrame:
+    """Adds the bar's number in its symbol, from 1, by time alone (the grid has no holes), and n_bars, the symbol's bars.
+
+    The first time of a symbol is one aggregate, joined back, so no symbol's history is sorted in one place.
+    """
+    micros = lambda c: F.unix_micros(c.cast("timestamp"))
+    first = df.groupBy("symbol").agg(F.min("ts").alias("_a"), F.count("*").alias("n_bars"))
+    return df.join(first, "symbol").withColumn("bar", ((micros(F.col("ts")) - micros(F.col("_a"))) / F.lit(STEP_MINUTES * 60_000_000)).cast("long") + 1).drop("_a")
+
+
 CLEANED_SQL = (
     BARS_SQL
     + """, grid AS (SELECT symbol, unnest(generate_series(min(ts), max(ts), INTERVAL 1 HOUR)) AS ts FROM bars GROUP BY symbol),

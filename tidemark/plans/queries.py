@@ -197,10 +197,7 @@ register("broadcast_all", "SELECT e.event_id, s.symbol FROM events e CROSS JOIN
 
 def panel(spark: SparkSession, d: str, chunk: int = P.CHUNK) -> DataFrame:
     """The chunked panel with all that rules look at, the bar's number, and the forward return over three bars from the next one on."""
-    bars = P.cleaned(spark, d)
-    first = Window.partitionBy("symbol")
-    number = (F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.min("ts").over(first).cast("timestamp"))) / F.lit(P.STEP_MINUTES * 60_000_000)
-    df = P.thresholds(P.add_features(P.chunked(bars.withColumn("bar", number.cast("long") + 1), chunk)))
+    df = P.thresholds(P.add_features(P.chunked(P.numbered(P.cleaned(spark, d)).drop("n_bars"), chunk)))
     fwd = F.lead("close", 4).over(P.W()) / F.nullif(F.lead("close", 1).over(P.W()), F.lit(0.0)) - 1
     helped = df.withColumns({n: F.expr(t.replace("PARTITION BY symbol", "PARTITION BY symbol, _chunk")) for n, t in HELPERS.items()} | {"fwd": fwd})
     return own_rows(helped)

@@ -13,10 +13,16 @@ from pyspark.sql.streaming.state import GroupState
 EVENTS = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
 
 
-def event_stream(spark: SparkSession, folder: str, pattern: str = "events.parquet") -> DataFrame:
-    """The events of a folder as a stream of files."""
-    known = spark.read.parquet(f"{folder}/{pattern}").schema
-    return spark.readStream.schema(known).option("pathGlobFilter", pattern).parquet(folder).withColumn("ts", F.col("ts").cast("timestamp"))
+def event_stream(spark: SparkSession, folder: str, table: str = "events.parquet") -> DataFrame:
+    """A table of a folder as a stream of files, be it one file or a folder of part files."""
+    path = f"{folder}/{table}"
+    known = spark.read.parquet(path).schema
+    source = spark.readStream.schema(known)
+    if any(f.rstrip("/").endswith(f"/{table}") for f in spark.read.parquet(path).inputFiles()[:1]):
+        rows = source.option("pathGlobFilter", table).parquet(folder)
+    else:
+        rows = source.parquet(path)
+    return rows.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def stream_bars(events: DataFrame, step: str = "1 hour", late: str = "10 minutes") -> DataFrame:
