@@ -29,14 +29,6 @@ def zscore(value: Column, rows: int, least: int | None = None, spread=F.stddev_s
     return (value - mean) / F.nullif(sd, F.lit(0.0))
 
 
-def pct_rank(value: Column, rows: int, least: int | None = None, keys: tuple[str, ...] = KEYS, order: str = "ts") -> Column:
-    """Share of the frame's values that are at most the current one."""
-    frame = ordered(keys, order).rowsBetween(-(rows - 1), 0)
-    seen = F.collect_list(value).over(frame)
-    n = F.size(seen)
-    return F.when((n >= (rows if least is None else least)) & value.isNotNull(), F.size(F.filter(seen, lambda v: v <= value)) / n)
-
-
 def ratio(a: Column, b: Column) -> Column:
     """a / b; null where b is 0 or either is null."""
     return a / F.nullif(b, F.lit(0.0))

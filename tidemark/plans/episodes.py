@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.frames import ordered, quantile, ratio
+from ..functions.frames import ordered, ratio
+from ..functions.order_windows import OrderStat
 from ..operators.align import active_on_grid, asof_join, keep_one, runs
 from ..operators.greedy import cool_down, space_out
 from . import panel as P
@@ -64,7 +65,7 @@ spaced(
 
 _SHOCK = [
     {"rv6": (lambda: rolling(F.col("logret"), F.stddev_samp, 6, 4), roll("stddev_samp", "logret", 6, 4))},
-    {"rv_base": (lambda: rolling(F.col("rv6"), quantile(0.5), 48, 24), roll("median", "rv6", 48, 24))},
+    {"rv_base": (lambda: OrderStat("quantile", "rv6", 48, 24, 0.5), roll("median", "rv6", 48, 24))},
     {"shock": (lambda: F.round(ratio(F.col("rv6"), F.col("rv_base")), 9), "round(rv6 / nullif(rv_base, 0), 9)")},
     {"was": (lambda: lag("shock", 1), lagged("shock", 1)), "calm": (lambda: F.sum(F.when(F.col("shock") <= 1.25, 1).otherwise(0)).over(P.W().rowsBetween(-2, 0)) == 3, f"sum(CASE WHEN shock <= 1.25 THEN 1 ELSE 0 END) {over(3)} = 3")},
 ]
@@ -161,7 +162,7 @@ def detect_liquidation_cascade(spark: SparkSession, d: str) -> DataFrame:
 
 # --- venues, flow, compression ------------------------------------------------------------------------
 
-_DISLOC = [{"b_mid": (lambda: rolling(F.col("basis"), quantile(0.5), 48, 12), roll("median", "basis", 48, 12)), "b_sd": (lambda: rolling(F.col("basis"), F.stddev_samp, 48, 12), roll("stddev_samp", "basis", 48, 12))}, {"b_z": (lambda: F.round(ratio(F.col("basis") - F.col("b_mid"), F.col("b_sd")), 9), "round((basis - b_mid) / nullif(b_sd, 0), 9)")}]
+_DISLOC = [{"b_mid": (lambda: OrderStat("quantile", "basis", 48, 12, 0.5), roll("median", "basis", 48, 12)), "b_sd": (lambda: rolling(F.col("basis"), F.stddev_samp, 48, 12), roll("stddev_samp", "basis", 48, 12))}, {"b_z": (lambda: F.round(ratio(F.col("basis") - F.col("b_mid"), F.col("b_sd")), 9), "round((basis - b_mid) / nullif(b_sd, 0), 9)")}]
 spaced("detect_basis_dislocation", _DISLOC, {"BASIS_DISLOC": (lambda: F.abs("b_z") > 2, "abs(b_z) > 2")}, 13)
 _AHEAD = "OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 1 FOLLOWING AND {} FOLLOWING)"
 _DESYNC = [
@@ -171,7 +172,7 @@ _DESYNC = [
 spaced("detect_cross_venue_desync", _DESYNC, {"CROSS_VENUE_DESYNC": (lambda: (F.col("apart") >= 1.5) & F.col("stays"), "apart >= 1.5 AND stays")}, 6)
 _FLOW = [
     {"flow": (lambda: F.round(ratio(2 * F.col("buy_volume") - F.col("volume"), F.col("volume")), 9), "round((2 * buy_volume - volume) / nullif(volume, 0), 9)"), "peak": (lambda: F.max("high").over(P.W().rowsBetween(1, 3)), f"max(high) {_AHEAD.format(3)}"), "floor_": (lambda: F.min("low").over(P.W().rowsBetween(1, 3)), f"min(low) {_AHEAD.format(3)}")},
-    {"up": (lambda: rolling(F.col("flow"), quantile(0.9), 48, 24), roll("quantile_cont(?, 0.9)", "flow", 48, 24)), "down": (lambda: rolling(F.col("flow"), quantile(0.1), 48, 24), roll("quantile_cont(?, 0.1)", "flow", 48, 24))},
+    {"up": (lambda: OrderStat("quantile", "flow", 48, 24, 0.9), roll("quantile_cont(?, 0.9)", "flow", 48, 24)), "down": (lambda: OrderStat("quantile", "flow", 48, 24, 0.1), roll("quantile_cont(?, 0.1)", "flow", 48, 24))},
 ]
 spaced(
     "detect_forced_flow_exhaustion",

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.frames import clip, quantile, ratio
+from ..functions.frames import clip, ratio
+from ..functions.order_windows import OrderStat, add_level
 from ..operators.align import own_rows, runs
 from . import panel as P
 from .panel import W, lagged, over, roll, rolling, z, zscore
@@ -18,7 +19,7 @@ def wide(spark: SparkSession, d: str, levels: list) -> DataFrame:
     """The panel with further levels of columns, worked out in the same chunks."""
     df = P.add_features(P.chunked(P.cleaned(spark, d)))
     for level in levels:
-        df = df.withColumns({n: c() for n, (c, _) in level.items()})
+        df = add_level(df, {n: c() for n, (c, _) in level.items()}, P.KEYS)
     return own_rows(df)
 
 
@@ -44,31 +45,13 @@ def labels(name: str, levels: list, *out: str) -> None:
     register(name, f"{wide_sql(levels)} SELECT symbol, ts, {', '.join(names)} FROM wide")(lambda spark, d: wide(spark, d, levels).select("symbol", "ts", *names))
 
 
-def array_quantile(values: Column, q: float) -> Column:
-    """Linearly interpolated quantile of an array of numbers."""
-    place = (F.size(values) - 1) * F.lit(q)
-    low = F.floor(place).cast("int")
-    at = lambda i: F.get(F.sort_array(values), i)
-    return at(low) + (place - low) * (F.coalesce(at(low + 1), at(low)) - at(low))
-
-
 def robust_z(x: str, name: str, rows: int = 24) -> list:
     """Levels that end in the robust z of x: the frame's values clipped to its 1 and 99 % quantiles, then the distance of
-    the last from their median in median absolute deviations."""
+    the last from their median in median absolute deviations. In Spark one ordered window, in SQL lists."""
     a, lo, hi, w, m, d = (f"{name}_{k}" for k in ("all", "lo", "hi", "cut", "mid", "mad"))
-    return [
-        {a: (lambda: F.collect_list(x).over(W().rowsBetween(-(rows - 1), 0)), f"list({x}) FILTER (WHERE {x} IS NOT NULL) {over(rows)}")},
-        {lo: (lambda: array_quantile(F.col(a), 0.01), f"list_aggregate({a}, 'quantile_cont', 0.01)"), hi: (lambda: array_quantile(F.col(a), 0.99), f"list_aggregate({a}, 'quantile_cont', 0.99)")},
-        {w: (lambda: F.transform(a, lambda v: F.greatest(F.col(lo), F.least(F.col(hi), v))), f"list_transform({a}, lambda v: greatest({lo}, least({hi}, v)))")},
-        {m: (lambda: array_quantile(F.col(w), 0.5), f"list_aggregate({w}, 'median')")},
-        {d: (lambda: array_quantile(F.transform(w, lambda v: F.abs(v - F.col(m))), 0.5), f"list_aggregate(list_transform({w}, lambda v: abs(v - {m})), 'median')")},
-        {
-            name: (
-                lambda: F.when((F.size(a) == rows) & F.col(x).isNotNull(), (F.get(w, F.size(w) - 1) - F.col(m)) / (1.4826 * F.col(d) + 1e-12)),
-                f"CASE WHEN len({a}) = {rows} AND {x} IS NOT NULL THEN ({w}[-1] - {m}) / (1.4826 * {d} + 1e-12) END",
-            )
-        },
-    ]
+    sql = f"""(SELECT CASE WHEN len({a}) = {rows} AND {x} IS NOT NULL THEN ({w}[-1] - {m}) / (1.4826 * {d} + 1e-12) END FROM (SELECT *, list_aggregate(list_transform({w}, lambda v: abs(v - {m})), 'median') AS {d} FROM
+ (SELECT *, list_aggregate({w}, 'median') AS {m} FROM (SELECT {a}, list_transform({a}, lambda v: greatest({lo}, least({hi}, v))) AS {w} FROM (SELECT {a}, list_aggregate({a}, 'quantile_cont', 0.01) AS {lo}, list_aggregate({a}, 'quantile_cont', 0.99) AS {hi})))))"""
+    return [{a: (lambda: F.lit(None).cast("int"), f"list({x}) FILTER (WHERE {x} IS NOT NULL) {over(rows)}")}, {name: (lambda: OrderStat("robust_z", x, rows, rows), sql)}]
 
 
 def lag(x: str, n: int) -> Column:
@@ -78,26 +61,21 @@ def lag(x: str, n: int) -> Column:
 def pct(x: str, rows: int, least: int) -> tuple:
     """Share of the frame's values that are at most the current one, to nine decimals, and its SQL."""
 
-    def share() -> Column:
-        seen, now = F.collect_list(F.round(x, 9)).over(W().rowsBetween(-(rows - 1), 0)), F.round(x, 9)
-        return F.when((F.size(seen) >= least) & now.isNotNull(), F.size(F.filter(seen, lambda v: v <= now)) / F.size(seen))
-
     all_ = f"(list(round({x}, 9)) FILTER (WHERE {x} IS NOT NULL) {over(rows)})"
-    return share, f"CASE WHEN len({all_}) >= {least} AND {x} IS NOT NULL THEN len(list_filter({all_}, lambda v: v <= round({x}, 9))) * 1.0 / len({all_}) END"
+    return lambda: OrderStat("pct_rank", x, rows, least, digits=9), f"CASE WHEN len({all_}) >= {least} AND {x} IS NOT NULL THEN len(list_filter({all_}, lambda v: v <= round({x}, 9))) * 1.0 / len({all_}) END"
 
 
 # --- features -----------------------------------------------------------------------------------------
 
-feature("rolling_quantile", [{f"q{round(q * 100)}": (lambda q=q: rolling(F.col("rv"), quantile(q), 24, 24), roll(f"quantile_cont(?, {q})", "rv", 24, 24)) for q in (0.1, 0.25, 0.75, 0.9)}])
+feature("rolling_quantile", [{f"q{round(q * 100)}": (lambda q=q: OrderStat("quantile", "rv", 24, 24, q), roll(f"quantile_cont(?, {q})", "rv", 24, 24)) for q in (0.1, 0.25, 0.75, 0.9)}])
 feature(
     "rolling_avg_rank",
     [
-        {"rv9": (lambda: F.round("rv", 9), "round(rv, 9)")},
-        {"seen": (lambda: F.collect_list("rv9").over(W().rowsBetween(-23, 0)), f"list(rv9) FILTER (WHERE rv9 IS NOT NULL) {over(24)}")},
+        {"seen": (lambda: F.lit(None).cast("int"), f"list(round(rv, 9)) FILTER (WHERE rv IS NOT NULL) {over(24)}")},
         {
             "avg_rank": (
-                lambda: F.when((F.size("seen") == 24) & F.col("rv").isNotNull(), (F.size(F.filter("seen", lambda v: v < F.col("rv9"))) + (F.size(F.filter("seen", lambda v: v == F.col("rv9"))) + 1) / 2) / F.size("seen")),
-                "CASE WHEN len(seen) = 24 AND rv IS NOT NULL THEN (len(list_filter(seen, lambda v: v < rv9)) + (len(list_filter(seen, lambda v: v = rv9)) + 1) / 2.0) / len(seen) END",
+                lambda: OrderStat("avg_rank", "rv", 24, 24, digits=9),
+                "CASE WHEN len(seen) = 24 AND rv IS NOT NULL THEN (len(list_filter(seen, lambda v: v < round(rv, 9))) + (len(list_filter(seen, lambda v: v = round(rv, 9))) + 1) / 2.0) / len(seen) END",
             )
         },
     ],
@@ -106,9 +84,9 @@ feature("rolling_robust_z", robust_z("ret_1", "robust"))
 feature(
     "mad_z",
     [
-        {"rv_mid": (lambda: rolling(F.col("rv"), quantile(0.5), 48, 24), roll("median", "rv", 48, 24))},
+        {"rv_mid": (lambda: OrderStat("quantile", "rv", 48, 24), roll("median", "rv", 48, 24))},
         {"away": (lambda: F.abs(F.col("rv") - F.col("rv_mid")), "abs(rv - rv_mid)")},
-        {"rv_mad": (lambda: rolling(F.col("away"), quantile(0.5), 48, 24), roll("median", "away", 48, 24))},
+        {"rv_mad": (lambda: OrderStat("quantile", "away", 48, 24), roll("median", "away", 48, 24))},
         {"mad_z": (lambda: ratio(F.col("rv") - F.col("rv_mid"), 1.4826 * F.col("rv_mad")), "(rv - rv_mid) / nullif(1.4826 * rv_mad, 0)")},
     ],
 )
@@ -121,7 +99,7 @@ feature(
 )
 feature("buy_volume_proxy", [{"bought": (lambda: F.coalesce(F.nullif("buy_volume", F.lit(0.0)), F.col("volume") * (F.col("close") - F.col("low")) / F.coalesce(F.nullif(F.col("high") - F.col("low"), F.lit(0.0)), F.lit(0.5))), "coalesce(nullif(buy_volume, 0), volume * (close - low) / coalesce(nullif(high - low, 0), 0.5))")}])
 feature("effective_spread", [{"spread_bps": (lambda: ratio(F.col("high") - F.col("low"), (F.col("high") + F.col("low")) / 2) * 1e4, "(high - low) / nullif((high + low) / 2, 0) * 10000")}])
-feature("tail_move", [{"base": (lambda: rolling(F.col("abs_ret"), quantile(0.5), 48, 12), roll("median", "abs_ret", 48, 12))}, {"tail_move": (lambda: ratio(F.col("abs_ret"), F.col("base")), "abs_ret / nullif(base, 0)"), "range_ratio": (lambda: ratio(F.col("bar_range"), F.col("range_med48")), "bar_range / nullif(range_med48, 0)")}])
+feature("tail_move", [{"base": (lambda: OrderStat("quantile", "abs_ret", 48, 12), roll("median", "abs_ret", 48, 12))}, {"tail_move": (lambda: ratio(F.col("abs_ret"), F.col("base")), "abs_ret / nullif(base, 0)"), "range_ratio": (lambda: ratio(F.col("bar_range"), F.col("range_med48")), "bar_range / nullif(range_med48, 0)")}])
 feature(
     "ts_momentum",
     [{f"m{n}": (lambda n=n: clip(ratio(F.col("close") / lag("close", n) - 1, F.col("rv") * F.sqrt(F.lit(float(n)))), -3.0, 3.0), f"CASE WHEN (close / {lagged('close', n)} - 1) / nullif(rv * sqrt({n}.0), 0) IS NOT NULL THEN greatest(-3.0, least(3.0, (close / {lagged('close', n)} - 1) / nullif(rv * sqrt({n}.0), 0))) END") for n in (5, 15, 30)}, {"ts_momentum": (lambda: (F.col("m5") + F.col("m15") + F.col("m30")) / 3, "(m5 + m15 + m30) / 3")}],

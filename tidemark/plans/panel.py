@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import frames
-from ..functions.frames import clip, quantile, ratio
+from ..functions.frames import clip, ratio
+from ..functions.order_windows import OrderStat, add_level
 from ..operators.align import grid_reindex, own_rows, time_chunks
 
 #: Windows of the panel run over chunks of a symbol's history, each with what it needs of its neighbours.
@@ -19,7 +20,7 @@ KEYS = ("symbol", "_chunk")
 W = partial(frames.ordered, KEYS)
 rolling, zscore = partial(frames.rolling, keys=KEYS), partial(frames.zscore, keys=KEYS)
 #: Bars in a chunk, and before and after it: no feature, threshold or rule looks back further than BEFORE bars.
-CHUNK, BEFORE, AFTER = 8192, 384, 64
+CHUNK, BEFORE, AFTER = 8192, 640, 64
 STEP_MINUTES = 60
 
 
@@ -120,8 +121,8 @@ LEVELS: list[dict[str, tuple[Callable[[], Column], str]]] = [
         "oi": (lambda: rolling(F.col("volume"), F.sum, 48, 1), roll("sum", "volume", 48, 1)),
         "high_24": (lambda: rolling(F.col("high"), F.max, 24, 18), roll("max", "high", 24, 18)),
         "low_24": (lambda: rolling(F.col("low"), F.min, 24, 18), roll("min", "low", 24, 18)),
-        "vol_med": (lambda: rolling(F.col("quote_volume"), quantile(0.5), 48, 24), roll("quantile_cont(?, 0.5)", "quote_volume", 48, 24)),
-        "range_med48": (lambda: rolling(ratio(F.col("high") - F.col("low"), F.col("close")), quantile(0.5), 48, 24), roll("quantile_cont(?, 0.5)", "((high - low) / nullif(close, 0))", 48, 24)),
+        "vol_med": (lambda: OrderStat("quantile", "quote_volume", 48, 24), roll("quantile_cont(?, 0.5)", "quote_volume", 48, 24)),
+        "range_med48": (lambda: OrderStat("quantile", "bar_range", 48, 24), roll("quantile_cont(?, 0.5)", "((high - low) / nullif(close, 0))", 48, 24)),
         "top_24": (lambda: rolling(F.col("close"), F.max, 24, 6, 1), roll("max", "close", 24, 6, 1)),
         "bottom_24": (lambda: rolling(F.col("close"), F.min, 24, 6, 1), roll("min", "close", 24, 6, 1)),
         "top_48": (lambda: rolling(F.col("high"), F.max, 48, 16, 1), roll("max", "high", 48, 16, 1)),
@@ -152,7 +153,7 @@ LEVELS: list[dict[str, tuple[Callable[[], Column], str]]] = [
         "broke": (lambda: F.when((F.col("close") > F.col("prev_high")) | (F.col("close") < F.col("prev_low")), 1).otherwise(0), "CASE WHEN close > prev_high OR close < prev_low THEN 1 ELSE 0 END"),
         "rv_z": (lambda: zscore(F.col("rv"), 72, 24), z("rv", 72, 24)),
         "oi_z": (lambda: zscore(F.col("oi_logdiff"), 48, 24), z("oi_logdiff", 48, 24)),
-        "range_med": (lambda: rolling(F.col("range_24"), quantile(0.5), 96, 48), roll("quantile_cont(?, 0.5)", "range_24", 96, 48)),
+        "range_med": (lambda: OrderStat("quantile", "range_24", 96, 48), roll("quantile_cont(?, 0.5)", "range_24", 96, 48)),
         "abs_spread_z": (lambda: F.abs("spread_z"), "abs(spread_z)"),
         "abs_basis_z": (lambda: F.abs("basis_z"), "abs(basis_z)"),
         "abs_px_z": (lambda: F.abs("px_z"), "abs(px_z)"),
@@ -181,7 +182,7 @@ def chunked(df: DataFrame, chunk: int = CHUNK, before: int = BEFORE, after: int
 def add_features(df: DataFrame) -> DataFrame:
     """Features of a chunked panel."""
     for level in LEVELS:
-        df = df.withColumns({name: column() for name, (column, _) in level.items()})
+        df = add_level(df, {name: column() for name, (column, _) in level.items()}, KEYS)
     return df
 
 

@@ -9,7 +9,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.frames import ordered, pct_rank
+from ..functions.frames import ordered
+from ..functions.order_windows import OrderStat, add_order_statistics
 from ..functions.tails import normal_two_sided
 from ..operators.align import active_on_grid, asof_join, keep_one, repeated_keys, own_rows, runs
 from ..operators.greedy import cool_down, space_out
@@ -353,7 +354,7 @@ def _cross(df: DataFrame) -> DataFrame:
 register(
     "rolling_pct_rank",
     f"WITH {P.CLEANED_SQL}, b AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS bar FROM cleaned) SELECT a.symbol, a.ts, {s6('CASE WHEN count(b.quote_volume) >= 24 THEN sum(CASE WHEN b.quote_volume <= a.quote_volume THEN 1.0 ELSE 0.0 END) / count(*) END')} AS pct FROM b a JOIN b ON a.symbol = b.symbol AND b.bar BETWEEN a.bar - 23 AND a.bar GROUP BY a.symbol, a.ts",
-)(lambda spark, d: P.cleaned(spark, d).select("symbol", "ts", r6(pct_rank(F.col("quote_volume"), 24)).alias("pct")))
+)(lambda spark, d: own_rows(add_order_statistics(P.chunked(P.cleaned(spark, d).select("symbol", "ts", "quote_volume")), {"pct": OrderStat("pct_rank", "quote_volume", 24, 24)}, P.KEYS)).select("symbol", "ts", r6(F.col("pct")).alias("pct")))
 register(
     "state_labels",
     f"WITH {P.features_sql()} SELECT symbol, ts, CASE WHEN rv_z IS NULL THEN 'unknown' WHEN rv_z <= -0.5 THEN 'low' WHEN rv_z <= 0.5 THEN 'mid' ELSE 'high' END AS vol_regime, CASE WHEN funding < -0.00001 THEN 'neg' WHEN funding > 0.00001 THEN 'pos' ELSE 'neutral' END AS carry, CASE WHEN trend > 0 THEN 'bull' WHEN trend < 0 THEN 'bear' ELSE 'flat' END AS trend_state, coalesce(ratio_now <= 0.8, FALSE) AS compression FROM feat",
