@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from tidemark.plans import discovery, episodes, lake, more_features, queries, selection, study  # noqa: F401  (each registers its queries)
+from tidemark.plans import discovery, episode_metrics, episodes, lake, more_features, queries, selection, study  # noqa: F401  (each registers its queries)
 from tidemark.plans import statistics as plans
 
 SF = "/root/testdata/sf0.001"

@@ -121,26 +121,6 @@ def detect_liquidity_vacuum(spark: SparkSession, d: str, least: int = 1, most: i
     return cool_down(spans, ["symbol"], "bar", "leave", 4).select("symbol", (F.col("bar") + 1).alias("enter_bar"), F.col("leave").alias("exit_bar"), (F.col("leave") - F.col("bar")).alias("duration"))
 
 
-_SWEEP = [0.9, 0.95, 0.97, 0.98, 0.99]
-
-
-@register(
-    "vacuum_calibration",
-    f"{_VACUUM_SQL}, q AS (SELECT symbol, unnest({_SWEEP}) AS q, unnest(quantile_cont(abs_ret, {_SWEEP})) AS cut FROM b GROUP BY 1), c AS (SELECT q.symbol, q.q, q.cut, count(*) FILTER (WHERE abs_ret >= cut AND was < cut) AS n FROM q JOIN b USING (symbol) GROUP BY 1, 2, 3) "
-    f"SELECT symbol, q AS quantile, {s6('cut')} AS threshold, n FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY CASE WHEN n <= 15 THEN q ELSE 9 - q END) AS k FROM c) WHERE k = 1",
-)
-def vacuum_calibration(spark: SparkSession, d: str, most: int = 15) -> DataFrame:
-    """Of five quantiles the first with at most `most` onsets, else the highest; all thresholds are counted in one pass."""
-    df = wide(spark, d, _VACUUM).select("symbol", "abs_ret", "was")
-    cuts = df.groupBy("symbol").agg(F.percentile("abs_ret", F.array(*map(F.lit, _SWEEP))).alias("cuts"))
-    zipped = F.arrays_zip(F.array(*map(F.lit, _SWEEP)).alias("q"), F.col("cuts").alias("cut"))
-    each = df.join(F.broadcast(cuts), "symbol").select("symbol", "abs_ret", "was", F.explode(zipped).alias("z"))
-    n = F.sum(F.when((F.col("abs_ret") >= F.col("z.cut")) & (F.col("was") < F.col("z.cut")), 1).otherwise(0))
-    counts = each.groupBy("symbol", F.col("z.q").alias("quantile"), F.col("z.cut").alias("threshold")).agg(n.alias("n"))
-    order = F.when(F.col("n") <= most, F.col("quantile")).otherwise(9 - F.col("quantile"))
-    return keep_one(counts, ["symbol"], order).select("symbol", "quantile", r6(F.col("threshold")).alias("threshold"), "n")
-
-
 _CASCADE = [{"hit": (lambda: _true((F.col("quote_volume") > 1.2 * F.col("vol_med")) & (F.col("quote_volume") > 100) & (F.col("oi_delta") < 0)), "coalesce(quote_volume > 1.2 * vol_med AND quote_volume > 100 AND oi_delta < 0, FALSE)"), "oi_was": (lambda: lag("oi", 1), lagged("oi", 1)), "close_was": (lambda: lag("close", 1), lagged("close", 1))}]
 
 
