@@ -1,4 +1,4 @@
-"""Byte-level BPE, periodic runs and whitening against plain Python on small, awkward tables."""
+"""Byte-level BPE, periodic runs, whitening, near copies and secrets against plain Python on small, awkward tables."""
 
 import base64
 import hashlib
@@ -14,7 +14,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tidemark.llm import byte_bpe, periodic_runs, whitening
+from tidemark.llm import byte_bpe, periodic_runs, pii, simhash, whitening
 from tidemark.llm.queries import queries
 
 SF = "/root/testdata/sf0.001"
@@ -286,3 +286,62 @@ def test_deviation_beyond_63_bits_is_null():
     wide = whitening.Centred(2, [0, 0], -(2**40), 2**40)
     assert wide.deviations(np.array([[3, 4], [2**40, 0]])) == [100, None]
     assert whitening.Centred(2, [0, 0], 0, 5).deviations(np.array([[3, 4]])) == [100]
+
+
+def grouped(pairs, n):
+    root = list(range(n))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in pairs:
+        root[max(top(a), top(b))] = min(top(a), top(b))
+    return [top(i) for i in range(n)]
+
+
+@pytest.mark.parametrize("check", [20, 40])
+def test_near_copies_by_brute_force(spark, check):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").orderBy("doc_id").limit(600)
+    rows = docs.collect()
+    fp = np.array([simhash.fingerprint(r.text, 1) for r in rows], np.uint64)
+    sig = np.array([simhash.signature(r.text) for r in rows]).view(np.uint64)
+    near = [(i, j) for i in range(len(rows)) for j in np.flatnonzero(np.bitwise_count(fp[:i] ^ fp[i]) <= 5) if np.bitwise_count(sig[i] ^ sig[j]).sum() <= check]
+    want = grouped(near, len(rows))
+    got = {r.doc_id: r.root for r in simhash.near_copies(docs.repartition(5), check=check).collect()}
+    same = {}
+    for r, w in zip(rows, want, strict=True):
+        same.setdefault(w, set()).add(got[r.doc_id])
+    assert all(len(s) == 1 for s in same.values()) and len({x for s in same.values() for x in s}) == len(same) and len(near) > 5
+
+
+def test_signatures_tell_shared_shingles():
+    r = random.Random(3)
+    words = [f"w{r.randrange(500)}" for _ in range(400)]
+    shingles = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    for edits in (0, 3, 12, 60):
+        other = list(words)
+        for i in r.sample(range(400), edits):
+            other[i] = "new"
+        a, b = shingles(words), shingles(other)
+        apart = int(np.bitwise_count(simhash.signature(" ".join(words)) ^ simhash.signature(" ".join(other))).sum())
+        assert abs(apart - 64 * (1 - len(a & b) / len(a | b))) < 18
+    assert not simhash.signature(None).any() and not simhash.signature(" ").any() and simhash.signature("one").any()
+
+
+SECRETS = [
+    '{"password": "hunter2abcXYZ"}', '"api_key":"abcd1234efgh"', "api-key: 'abcd1234efgh'", "export AWS_SECRET_ACCESS_KEY=wJalrXUtnFEMI/K7MDENG", '{\\"token\\": \\"abcd1234efgh\\"}', "secret => abcdefgh12", "auth_token_1 = 'abcdefgh1234'",
+]
+
+
+@pytest.mark.parametrize("text", SECRETS)
+def test_secrets_in_quotes(text):
+    out, spans = pii.pseudonymise(text, pii.derived_key("k"))
+    assert len(spans) == 1 and spans[0][2] == "secret" and out != text and len(out) == len(text)
+    assert [re.sub(r"[A-Za-z0-9]", "x", t) for t in (out, text)][0] == re.sub(r"[A-Za-z0-9]", "x", text)
+
+
+@pytest.mark.parametrize("text", ["secretary: Johannes", "token_count: 12345678", "The password was forgotten", "tokens are counted: elevenwords"])
+def test_words_that_are_no_secrets(text):
+    assert pii.pseudonymise(text, pii.derived_key("k")) == (text, [])

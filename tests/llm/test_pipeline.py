@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline as pipeline
 from tidemark.llm.queries import op8_decontamination, op10_quality_classifier
-from tidemark.llm.simhash import near_duplicates
+from tidemark.llm.simhash import near_copies
 
 SF = "/root/testdata/sf0.001"
 
@@ -18,8 +18,8 @@ def test_stages_decide_what_stays(spark):
     assert packed <= good
     bad = {r.doc_id for r in op8_decontamination(spark, SF).where("contaminated").collect()}
     assert not packed & bad
-    first = near_duplicates(docs.where(F.col("doc_id").isin(list(good))), threshold=pipeline.WITHIN, shingle=pipeline.SHINGLE)
-    assert packed == {r.component_id for r in first.collect()} - bad
+    first = near_copies(docs.where(F.col("doc_id").isin(list(good)))).groupBy("root").agg(F.min("doc_id").alias("first"))
+    assert packed == {r.first for r in first.collect()} - bad
     lengths = {}
     for r in out:
         lengths[r.sequence_id] = lengths.get(r.sequence_id, 0) + r.length

@@ -204,7 +204,8 @@ def secret(m: re.Match, key: bytes) -> str | None:
 KINDS: list[tuple[str, str, Callable[[re.Match, bytes], str | None]]] = [
     ("email", r"(?<![\w.+-])([A-Za-z0-9][\w.+-]*)(@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)", mail),
     ("secret", r"\b(AKIA|ASIA)([A-Z0-9]{16})\b", secret),
-    ("secret", r"""((?i:password|passwd|secret|token|api[_-]?key)\s*[:=]\s*["']?)([A-Za-z0-9+/_-]{8,})""", secret),
+    # name and value bare or in quotes (escaped ones too), with a colon, an equals sign or an arrow between: JSON, YAML, shell, code
+    ("secret", r"""((?i:password|passwd|secret|token|api[_-]?key)(?i:[_-](?:access|auth|secret|key|id|value|token|hash|\d{1,4})){0,3}\\?["']?\s{0,40}[:=]>?\s{0,40}\\?["']?)([A-Za-z0-9+/_-]{8,})""", secret),
     ("iban", r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b", iban),
     ("date", r"(?<![\d.-])(\d{4})([-/.])(\d{1,2})\2(\d{1,2})(?![\d-]|\.\d)", lambda m, key: day(re.match(r"(\d{4})([-/.])(\d{1,2})[-/.](\d{1,2})", m[0]), key, ("ymd",))),
     ("date", r"(?<![\d.-])(\d{1,2})([-/.])(\d{1,2})\2(\d{4})(?![\d-]|\.\d)", lambda m, key: day(re.match(r"(\d{1,2})([-/.])(\d{1,2})[-/.](\d{4})", m[0]), key, ("dmy", "mdy"))),
