@@ -17,13 +17,7 @@ from tidemark.llm.packing import pack_documents
 from tidemark.llm.pii import pseudonymous
 from tidemark.llm.quality_classifier import quality_score, train_quality
 from tidemark.llm.queries import pii_key, table, tokenizer_path
-from tidemark.llm.simhash import near_duplicates
-
-
-#: Fingerprints of a group differ in at most WITHIN bits: one more than the operator's 4, which its three blocks cover at
-#: the same cost. They are of SHINGLE words: texts that share 0.8 of their five-word shingles lie at 9 bits (median)
-#: with shingles of five words, too far to cover, and at 5 with shingles of two. See the README for recall.
-WITHIN, SHINGLE = 5, 2
+from tidemark.llm.simhash import near_copies
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +37,7 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     blank texts are one group. Of rows equal in id and text that with the smallest JSON text stays. An empty table
     stays empty; further columns stay, whatever their names.
     """
-    marked = near_duplicates(docs, threshold=WITHIN, shingle=SHINGLE)
+    marked = near_copies(docs)
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.coalesce("text_hash", F.lit(0)).alias("hash"))
     first = marked.groupBy("root").agg(F.min(order).alias("first")).select("first.id", "first.hash").distinct()
     rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), F.coalesce(F.xxhash64(F.col("text").cast("string")), F.lit(0)).alias("hash"))
