@@ -16,6 +16,8 @@ from ..functions.frames import ratio, rolling
 from ..functions.order_windows import OrderStat, add_level
 from ..operators.align import asof_join, own_rows, time_chunks
 from ..operators.greedy import cool_down
+from ..operators.lineage import durable
+from ..operators.ranking import drawn, nearest
 from ..operators.spans import rows_within
 from . import panel as P
 from .episodes import cooled_sql
@@ -255,3 +257,26 @@ register(
  n AS (SELECT t.*, (SELECT count(*) FROM kept k WHERE k.symbol = t.symbol AND k.quantile = t.quantile) AS n FROM t WHERE cut IS NOT NULL), f AS (SELECT symbol, coalesce(min(quantile) FILTER (WHERE n >= 25), max(quantile)) AS q FROM n GROUP BY 1)
  SELECT symbol, quantile, {s6('cut')} AS threshold, n, n >= 25 AS enough, quantile = q AS chosen FROM n JOIN f USING (symbol)""",
 )(lambda spark, d: _rounded(calibrate(P.numbered(P.cleaned(spark, d)), _SWEEP, 25, _VACUUM, "quote_volume"), "threshold"))
+
+
+# --- controls by the nearest volatility ------------------------------------------------------------------
+
+#: Bars near an event by realised volatility: so many are looked at, and so many of these are drawn.
+NEAREST, DRAWS = 200, 3
+_SIDES = f"WITH {P.features_sql()}, b AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS bar FROM feat), q AS (SELECT symbol, round(quantile_cont(abs_basis_z, 0.9), 9) AS cut FROM feat GROUP BY 1), e AS (SELECT symbol, bar, round(rv, 9) AS rv FROM b JOIN q USING (symbol) WHERE round(abs_basis_z, 9) >= cut AND rv IS NOT NULL), pool AS (SELECT symbol, bar AS control, round(rv, 9) AS rv, row_number() OVER (PARTITION BY symbol ORDER BY round(rv, 9), bar) AS pos FROM b JOIN q USING (symbol) WHERE round(abs_basis_z, 9) < cut AND rv IS NOT NULL)"
+
+
+@register(
+    "control_nearest_ids",
+    f"""{_SIDES}, p AS (SELECT e.*, (SELECT count(*) FROM pool WHERE pool.symbol = e.symbol AND pool.rv <= e.rv) AS place FROM e),
+ n AS (SELECT p.symbol, p.bar, control, abs(p.rv - pool.rv) AS distance, row_number() OVER (PARTITION BY p.symbol, p.bar ORDER BY abs(p.rv - pool.rv), pos > place, abs(pos - place)) AS near FROM p JOIN pool USING (symbol)),
+ d AS (SELECT *, row_number() OVER (PARTITION BY symbol, bar ORDER BY md5(concat_ws('|', symbol, bar, control))) AS draw FROM n WHERE near <= {NEAREST})
+ SELECT symbol, bar, draw, control, near, {s6('distance')} AS distance FROM d WHERE draw <= {DRAWS}""",
+)
+def control_nearest_ids(spark: SparkSession, d: str) -> DataFrame:
+    """For bars whose venues lie far apart: which calm bars of like volatility they are held against, drawn from the nearest."""
+    bars = durable(P.numbered(P.features(P.cleaned(spark, d))).select("symbol", "bar", "rv", "abs_basis_z"))
+    cuts = bars.groupBy("symbol").agg(r9(F.percentile("abs_basis_z", F.lit(0.9))).alias("cut"))
+    own = bars.join(cuts, "symbol").where("rv is not null").select("symbol", "bar", r9(F.col("rv")).alias("rv"), (r9(F.col("abs_basis_z")) >= F.col("cut")).alias("far"))
+    near = nearest(own.where("far"), own.where("not far").select("symbol", F.col("bar").alias("control"), "rv"), ["symbol"], "rv", "bar", "control", NEAREST, block=0.5)
+    return drawn(near, ["symbol"], "bar", DRAWS, F.md5(F.concat_ws("|", "symbol", "bar", "control").cast("binary"))).select("symbol", "bar", "draw", "control", "near", r6(F.col("distance")).alias("distance"))

@@ -231,9 +231,24 @@ def reg_flags(spark: SparkSession, d: str) -> DataFrame:
     return flags.select("symbol", "ts", F.coalesce("impulse", F.lit(False)).alias("impulse"), "active", F.coalesce("tradable", F.lit(False)).alias("tradable"))
 
 
-register("reg_feature_frame", f"WITH {_REG} SELECT enter_ts AS ts, max(k) FILTER (WHERE event_type = 'ERROR') AS error_k, max(k) FILTER (WHERE event_type = 'SIGNUP') AS signup_k FROM reg WHERE event_type IN ('ERROR', 'SIGNUP') GROUP BY 1")(
-    lambda spark, d: normalized(spark, d).where("event_type in ('ERROR', 'SIGNUP')").select("enter_ts", "event_type", F.explode("features").alias("key", "v")).select(F.col("enter_ts").alias("ts"), F.concat_ws("_", F.lower("event_type"), "key").alias("name"), "v").groupBy("ts").pivot("name", ["error_k", "signup_k"]).agg(F.max("v"))
-)
+@register("reg_feature_frame", f"WITH {_REG}, l AS (SELECT * FROM reg WHERE event_type IN ('ERROR', 'SIGNUP') QUALIFY row_number() OVER (PARTITION BY symbol, enter_ts ORDER BY event_type DESC, event_id DESC) = 1) SELECT symbol, enter_ts AS ts, CASE WHEN event_type = 'ERROR' THEN k END AS error_k, CASE WHEN event_type = 'SIGNUP' THEN k END AS signup_k FROM l")
+def reg_feature_frame(spark: SparkSession, d: str) -> DataFrame:
+    return feature_frame(normalized(spark, d).where("event_type in ('ERROR', 'SIGNUP')"))
+
+
+def feature_frame(registry: DataFrame, most: int = 1_000) -> DataFrame:
+    """One row a symbol and time with the features of its last event (by type, then id), named by type and feature.
+
+    The names come from the table; more than `most` of them raise.
+    """
+    last = keep_one(registry, ["symbol", "enter_ts"], F.col("event_type").desc(), F.col("event_id").desc())
+    long_ = last.select("symbol", F.col("enter_ts").alias("ts"), F.lower("event_type").alias("type"), F.explode_outer("features").alias("key", "v")).withColumn("name", F.concat_ws("_", "type", "key"))
+    names = [r["name"] for r in registry.select(F.lower("event_type").alias("type"), F.explode(F.map_keys("features")).alias("key")).select(F.concat_ws("_", "type", "key").alias("name")).distinct().limit(most + 1).collect()]
+    if len(names) > most:
+        raise ValueError(f"more than {most} feature names")
+    return long_.groupBy("symbol", "ts").pivot("name", sorted(names)).agg(F.max("v")) if names else last.select("symbol", F.col("enter_ts").alias("ts"))
+
+
 register("reg_contract", f"WITH {_REG} SELECT event_type, count(*) AS n, count(*) FILTER (WHERE detected_ts < enter_ts) AS early, count(*) FILTER (WHERE exit_ts < enter_ts) AS reversed, count(*) FILTER (WHERE minute(enter_ts) % 5 <> 0 OR second(enter_ts) <> 0) AS off_grid FROM reg GROUP BY 1")(
     lambda spark, d: normalized(spark, d).groupBy("event_type").agg(F.count("*").alias("n"), F.count_if(F.col("detected_ts") < F.col("enter_ts")).alias("early"), F.count_if(F.col("exit_ts") < F.col("enter_ts")).alias("reversed"), F.count_if((F.minute("enter_ts") % 5 != 0) | (F.second("enter_ts") != 0)).alias("off_grid"))
 )

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions.frames import first_column, ratio
 from ..operators.align import active_on_grid, asof_join, repeated_keys
-from ..sources.readers import overlay, parse_liquidations, parse_mark_price, parse_onchain, parse_open_interest, parse_quotes, strings, write_months
+from ..operators.snapshots import write_incomplete
+from ..sources.readers import overlay, parse_liquidations, parse_mark_price, parse_onchain, parse_open_interest, parse_quotes, read_funding, strings, write_months
 from . import panel as P
 from .more_features import FEAT
 from .queries import oracle_sql, queries, r6, register, s6  # noqa: F401
@@ -118,13 +119,35 @@ def sink_month_partitions(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(path).select("symbol", "ts", "close")
 
 
-@register("sink_skip_complete", f"WITH {P.BARS_SQL} SELECT symbol, date_trunc('day', ts) AS day, count(*) AS expected FROM bars GROUP BY 1, 2 HAVING day(min(ts)) % 5 = 0")
+@register("sink_skip_complete", f"WITH {P.BARS_SQL} SELECT symbol, CAST(date_trunc('day', ts) AS DATE) AS day, count(*) AS expected, CASE WHEN day(min(ts)) % 5 = 0 THEN 0 ELSE 2 * count(*) END AS found FROM bars GROUP BY 1, 2 HAVING day(min(ts)) % 5 = 0 OR day(min(ts)) % 7 = 0")
 def sink_skip_complete(spark: SparkSession, d: str) -> DataFrame:
-    """The partitions that still have to be written: those whose stored rows do not match the expected number."""
-    bars = P.bars(spark, d).withColumn("day", F.date_trunc("DAY", "ts").cast("timestamp_ntz"))
-    expected = bars.groupBy("symbol", "day").agg(F.count("*").alias("expected"))
-    stored = bars.where(F.day("ts") % 5 != 0).groupBy("symbol", "day").agg(F.count("*").alias("expected"), F.count_distinct("ts").alias("times")).where("times = expected")
-    return expected.join(stored, ["symbol", "day", "expected"], "left_anti")
+    """The partitions that a second run writes, when the first has left some out and written others twice over.
+
+    Which they are is told from the files; a third run finds all complete and adds nothing to the result.
+    """
+    path, bars = shared(spark, "complete"), P.bars(spark, d).select("symbol", "ts", "close").withColumn("day", F.to_date("ts"))
+    write_incomplete(bars.where(F.day("ts") % 5 != 0).unionByName(bars.where((F.day("ts") % 7 == 0) & (F.day("ts") % 5 != 0))), path, ["symbol", "day"])
+    again = write_incomplete(bars, path, ["symbol", "day"])
+    return again.unionByName(write_incomplete(bars, path, ["symbol", "day"]))
+
+
+@register(
+    "src_funding",
+    "SELECT event_type AS symbol, make_timestamp(CAST(floor((round(epoch_ms(ts) / 1000.0) + 14400) / 28800) * 28800 AS BIGINT) * 1000000) AS ts, value / 10000 AS funding_rate FROM events WHERE value IS NOT NULL AND event_type IS NOT NULL",
+)
+def src_funding(spark: SparkSession, d: str) -> DataFrame:
+    """Events written as funding files of five layouts (named or not, seconds or milliseconds), read back in one go."""
+    e = P.table(spark, d, "events").where("value is not null and event_type is not null")
+    rate = (F.col("value") / 10000).cast("string")
+    ms, s = millis().cast("string"), F.round(millis() / 1000).cast("long").cast("string")
+    layouts = [
+        ("calc_time,funding_interval_hours,last_funding_rate", [ms, F.lit("8"), rate]), ("symbol,fundingTime,fundingRate", [F.lit("x"), ms, rate]), ("funding_rate,timestamp", [rate, s]), (None, [ms, F.lit("8"), rate]), (None, [s, rate]),
+    ]
+    path = shared(spark, "funding")
+    for i, (names, cells) in enumerate(layouts):
+        rows = e.where(F.pmod(F.xxhash64("event_type"), F.lit(5)) == i).select("event_type", *[c.alias(n) for c, n in zip(cells, names.split(",") if names else ("a", "b", "c"))])
+        rows.write.partitionBy("event_type").option("header", str(bool(names)).lower()).csv(f"{path}/{i}")
+    return read_funding(spark, path, F.regexp_extract(F.col("_metadata.file_path"), "event_type=([^/]*)", 1))
 
 
 @register("sink_replace_event_type", "SELECT event_type, event_id, CASE WHEN event_type = 'error' THEN 0.0 ELSE value END AS value FROM events WHERE event_type <> 'error' OR event_id % 2 = 0")

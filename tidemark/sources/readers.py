@@ -51,6 +51,43 @@ def parse_funding(raw: DataFrame, symbol: Column, file: Column) -> DataFrame:
     return df.join(units, "_file").select("symbol", F.timestamp_seconds(snapped).cast("timestamp_ntz").alias("ts"), "funding_rate")
 
 
+#: Header names of a funding file's time and rate, in order of preference, without signs and in small letters.
+FUNDING_TIME = ["fundingtime", "calctime", "timestamp", "time"]
+FUNDING_RATE = ["fundingrate", "lastfundingrate"]
+
+
+def parse_funding_files(raw: DataFrame, symbol: Column, file: Column) -> DataFrame:
+    """(symbol, ts, funding_rate) from rows of text cells of files whose layouts differ, snapped to 8 hours.
+
+    `raw` has the cells in its string columns, in order. A file with a row that names both a time and a rate column takes
+    its cells there; any other file has the time first and the rate third (second, if no row has three cells). Times are
+    seconds where the file's median is below 10^12, else milliseconds. One aggregate a file tells both. Rows whose time or
+    rate is no number (headers too) are dropped.
+    """
+    cells = F.array(*[F.col(c) for c, kind in raw.dtypes if kind == "string"])
+    width = sum(kind == "string" for _, kind in raw.dtypes)
+    df = raw.select(symbol.alias("symbol"), file.alias("_file"), cells.alias("_cells"))
+    named = F.transform("_cells", lambda c: F.regexp_replace(F.lower(F.trim(c)), "[_ ]", ""))
+    place = lambda names: F.coalesce(*[F.nullif(F.array_position(named, n), F.lit(0)) for n in names])
+    header = F.struct(place(FUNDING_TIME).alias("time"), place(FUNDING_RATE).alias("rate"))
+    told = F.when(header["time"].isNotNull() & header["rate"].isNotNull(), header)
+    three = F.max((F.size(F.array_compact("_cells")) >= 3)) if width >= 3 else F.lit(False)
+    middles = F.array(*[F.percentile(number(F.col("_cells")[i]), F.lit(0.5)) for i in range(width)])
+    layout = df.groupBy("_file").agg(F.max(told).alias("_named"), three.alias("_three"), middles.alias("_middles"))
+    at_time = F.coalesce(F.col("_named.time"), F.lit(1)).cast("int")
+    at_rate = F.coalesce(F.col("_named.rate"), F.when(F.col("_three"), 3).otherwise(2)).cast("int")
+    layout = layout.select("_file", at_time.alias("_time"), at_rate.alias("_rate"), (F.get("_middles", at_time - 1) < 1e12).alias("_seconds"))
+    rows = df.join(layout, "_file").select("symbol", "_seconds", number(F.get("_cells", F.col("_time") - 1)).alias("_t"), number(F.get("_cells", F.col("_rate") - 1)).alias("funding_rate")).dropna(subset=["_t", "funding_rate"])
+    seconds = F.round(F.when(F.col("_seconds"), F.col("_t")).otherwise(F.col("_t") / 1000))
+    return rows.select("symbol", F.timestamp_seconds(F.floor((seconds + 14400) / 28800) * 28800).cast("timestamp_ntz").alias("ts"), "funding_rate")
+
+
+def read_funding(spark: SparkSession, path: str, symbol: Column, cells: int = 6) -> DataFrame:
+    """parse_funding_files over all CSV files below a folder, each with at most `cells` columns."""
+    raw = spark.read.schema(", ".join(f"c{i} string" for i in range(cells))).option("recursiveFileLookup", "true").csv(path)
+    return parse_funding_files(raw.withColumn("_path", F.struct(F.col("_metadata.file_path").alias("p"))), symbol, F.col("_path.p"))
+
+
 def parse_quotes(raw: DataFrame, symbol: Column) -> DataFrame:
     names = {"bid_price": ["best_bid_price", "bid_price"], "bid_qty": ["best_bid_qty", "bid_qty"], "ask_price": ["best_ask_price", "ask_price"], "ask_qty": ["best_ask_qty", "ask_qty"]}
     time = first_number(raw, ["transaction_time", "event_time", "timestamp"])

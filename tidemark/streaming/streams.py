@@ -44,16 +44,23 @@ def stream_quotes(quotes: DataFrame, step: str = "5 minutes", late: str = "10 mi
     return sums.select("symbol", F.col("window.start").alias("ts"), "n", "spread_mean", "spread_max", "depth_mean", "depth_min")
 
 
-def stream_cooldown(events: DataFrame, by: str, gap: pd.Timedelta) -> DataFrame:
+def stream_cooldown(events: DataFrame, by: str, gap: pd.Timedelta, late: str = "10 minutes") -> DataFrame:
     """(by, ts, event_id) of the events that lie `gap` or more after the last one kept of their key; of equal times the smallest id.
 
-    A key's state is the time last kept. Rows of one trigger are sorted; a row older than the last kept time is late and goes.
-    A trigger's times of one key are held at once, so limit its files (maxFilesPerTrigger) where a key is crowded.
+    A key's state is the time last kept. It goes by a timer once the watermark, `late` behind the latest event, has passed
+    the end of its gap, so keys that have fallen silent take no memory. Rows behind the watermark, or behind the last kept
+    time, are late and go. Rows of one trigger are sorted; they are held at once, so limit its files (maxFilesPerTrigger)
+    where a key is crowded.
     """
     wait = gap.value // 1000
 
     def keep(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(parts)).sort_values(["ts", "event_id"]).reset_index(drop=True)
+        if state.hasTimedOut:
+            state.remove()
+            return
+        behind = state.getCurrentWatermarkMs() * 1000
+        rows = pd.concat(list(parts)).sort_values(["ts", "event_id"])
+        rows = rows[rows["ts"].astype("datetime64[us]").astype("int64") >= behind].reset_index(drop=True)
         times, kept = rows["ts"].astype("datetime64[us]").astype("int64").to_numpy(), []
         last = state.get[0] if state.exists else None
         place = 0 if last is None else int(np.searchsorted(times, last + wait))
@@ -63,7 +70,9 @@ def stream_cooldown(events: DataFrame, by: str, gap: pd.Timedelta) -> DataFrame:
             place = int(np.searchsorted(times, last + wait))
         if kept:
             state.update((last,))
+        if last is not None:
+            state.setTimeoutTimestamp(max((last + wait) // 1000, state.getCurrentWatermarkMs()) + 1)
         yield rows.loc[kept, [by, "ts", "event_id"]]
 
-    rows = events.select(by, "ts", "event_id").where(F.col("ts").isNotNull())
-    return rows.groupBy(by).applyInPandasWithState(keep, rows.schema, "last long", "append", "NoTimeout")
+    rows = events.select(by, "ts", "event_id").where(F.col("ts").isNotNull()).withWatermark("ts", late)
+    return rows.groupBy(by).applyInPandasWithState(keep, rows.schema, "last long", "append", "EventTimeTimeout")
