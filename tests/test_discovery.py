@@ -66,9 +66,9 @@ def test_linear_probability(spark):
 
 
 def test_ema_across_blocks(spark):
-    x = np.random.default_rng(7).normal(size=50)
+    x = np.random.default_rng(7).normal(size=500)  # blocks of 130
     rows = [("s", k, float(v)) for k, v in enumerate(x, 1)]
-    got = [r.ema for r in D.ema(spark.createDataFrame(rows, "s string, k long, v double"), "s", "k", "v", 0.9, block=16).orderBy("k").collect()]
+    got = [r.ema for r in D.ema(spark.createDataFrame(rows, "s string, k long, v double"), "s", "k", "v", 0.9).orderBy("k").collect()]
     want = [x[0]]
     for v in x[1:]:
         want.append(0.9 * v + 0.1 * want[-1])

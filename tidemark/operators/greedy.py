@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .lineage import durable
+
 #: Places in a block.
 BLOCK = 65_536
 
@@ -59,6 +61,7 @@ def greedy(rows: DataFrame, by: list[str], enter: str, free: str, block: int = B
     base = rows.where(F.col(enter).isNotNull() & F.col(free).isNotNull()).withColumns(
         {k: F.col(c).cast("string") for k, c in zip(names, by, strict=True)} | {"_greedy_enter": F.col(enter).cast("long"), "_greedy_free": F.col(free).cast("long"), "_greedy_block": F.floor(F.col(enter) / block).cast("long")}
     )
+    base = durable(base)  # looked at twice, and few against what they were found in
     keys = ", ".join(f"{k} string" for k in names)
 
     def tables(key: tuple, part: pd.DataFrame) -> pd.DataFrame:

@@ -91,7 +91,7 @@ def vol_shocks(bars: DataFrame, rule: VolShock = VolShock()) -> DataFrame:
 
     Symbols without a ratio have none; a metric without values is null.
     """
-    core = vol_shock_core(bars, rule)
+    core = durable(vol_shock_core(bars, rule).select("symbol", "ts", "bar", "n_bars", "close", "high", "low", "logret", "rv", "rv_base", "shock", "was", "calm"))
     limits = core.groupBy("symbol").agg(r9(F.percentile("shock", F.lit(rule.shock_quantile))).alias("limit_"))
     onset = core.join(limits, "symbol").where((F.col("shock") >= F.col("limit_")) & (F.col("was") < F.col("limit_")))
     spans = onset.select("symbol", "bar", "n_bars", "limit_", "ts", F.col("rv_base").alias("base"), F.col("close").alias("close_enter"))
@@ -206,7 +206,7 @@ def thresholds(core: DataFrame, quantiles: list[float]) -> DataFrame:
 
 def vacuums(bars: DataFrame, rule: Vacuum = Vacuum(), volume: str = "volume") -> DataFrame:
     """Liquidity vacuums at the symbol's quantile with their metrics; the first bar is the one behind the jump."""
-    core = vacuum_core(bars, rule, volume).withColumn("abs_return", r9(F.col("abs_return"))).withColumn("was", r9(F.col("was")))
+    core = durable(vacuum_core(bars, rule, volume).select("symbol", "bar", "n_bars", r9(F.col("abs_return")).alias("abs_return"), r9(F.col("was")).alias("was"), "range_pct", "range_mid", "thin"))
     kept = vacuum_spans(core, thresholds(core, [rule.shock_quantile]).drop("quantile"), rule).withColumns({"enter": F.col("bar") + 1, "until": F.col("leave") + max(rule.post, rule.auc)})
     path = core.select("symbol", F.col("bar").alias("at"), "abs_return", "range_pct", "range_mid")
     start, at = F.col("enter"), F.col("at")
@@ -230,7 +230,7 @@ def calibrate(bars: DataFrame, quantiles: list[float], least_events: int = 10, r
 
     All thresholds are worked out in one job; a symbol without returns has no row.
     """
-    core = vacuum_core(bars, rule, volume).withColumn("abs_return", r9(F.col("abs_return"))).withColumn("was", r9(F.col("was")))
+    core = durable(vacuum_core(bars, rule, volume).select("symbol", "bar", "n_bars", r9(F.col("abs_return")).alias("abs_return"), r9(F.col("was")).alias("was"), "range_pct", "range_mid", "thin"))
     cuts = thresholds(core, quantiles).where("cut is not null")
     counts = vacuum_spans(core, cuts, rule).groupBy("symbol", "quantile").agg(F.count("*").alias("n"))
     all_ = cuts.join(counts, ["symbol", "quantile"], "left").withColumn("n", F.coalesce("n", F.lit(0)))

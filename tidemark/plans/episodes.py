@@ -9,6 +9,7 @@ from ..functions.frames import ordered, ratio
 from ..functions.order_windows import OrderStat
 from ..operators.align import active_on_grid, asof_join, keep_one, runs
 from ..operators.greedy import cool_down, space_out
+from ..operators.lineage import durable
 from . import panel as P
 from .more_features import FEAT, _true, pct, wide, wide_sql
 from .panel import lagged, numbered, over, roll, rolling
@@ -85,7 +86,7 @@ def detect_vol_shock(spark: SparkSession, d: str) -> DataFrame:
     The calm bar is a running minimum from the end, and the bars of an episode are the ones of the interval flags, so no
     bar meets another symbol's or a later episode.
     """
-    df = numbered(wide(spark, d, _SHOCK))
+    df = durable(numbered(wide(spark, d, _SHOCK)).select("symbol", "ts", "bar", "n_bars", "rv6", "rv_base", "shock", "was", "calm"))
     limits = df.groupBy("symbol").agg(F.round(F.percentile("shock", F.lit(0.95)), 9).alias("limit_"))
     ahead = S().rowsBetween(0, Window.unboundedFollowing)
     df = df.join(F.broadcast(limits), "symbol").withColumn("leave", F.coalesce(F.min(F.when(F.col("calm"), F.col("bar"))).over(ahead), F.col("n_bars")))
@@ -113,7 +114,7 @@ _VACUUM_SQL = wide_sql(_VACUUM).replace("WITH ", "WITH RECURSIVE ", 1) + f", b A
 )
 def detect_liquidity_vacuum(spark: SparkSession, d: str, least: int = 1, most: int = 96) -> DataFrame:
     """A jump of the return over the symbol's threshold, followed at once by bars of thin volume and wide range."""
-    df = numbered(wide(spark, d, _VACUUM))
+    df = durable(numbered(wide(spark, d, _VACUUM)).select("symbol", "ts", "bar", "n_bars", "abs_ret", "was", "thin"))
     cuts = df.groupBy("symbol").agg(F.percentile("abs_ret", F.lit(0.8)).alias("cut"))
     stop = F.coalesce(F.min(F.when(~F.col("thin"), F.col("bar"))).over(S().rowsBetween(1, Window.unboundedFollowing)), F.col("n_bars") + 1)
     df = df.join(F.broadcast(cuts), "symbol").withColumn("stop", stop)
