@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from tidemark.plans import candidates, discovery, episode_metrics, episodes, lake, more_features, queries, runs, selection, study, tradable  # noqa: F401  (each registers its queries)
+from tidemark.plans import candidates, discovery, episode_metrics, episodes, lake, more_features, pooled, queries, runs, selection, study, tradable  # noqa: F401  (each registers its queries)
 from tidemark.plans import statistics as plans
 
 SF = "/root/testdata/sf0.001"

@@ -195,6 +195,7 @@ def allocate(positions: DataFrame, by: list[str], time: str, strategy: str, limi
     """
     if not by:
         raise ValueError("a book has at least one key")
+    positions = durable(positions.select(*by, time, strategy, "position", "scale"))  # read for its times, names and values
     times = in_chunks(positions.select(*by, time).distinct(), by, time, chunk)
     b = [F.col(c).alias(f"_k{i}") for i, c in enumerate(by)]
     held = positions.select(*b, F.col(time).alias("_t"), F.col(strategy).alias("_s"), F.coalesce(F.col("position").cast("double"), F.lit(0.0)).alias("_position"), F.greatest(F.coalesce(F.col("scale").cast("double"), F.lit(0.0)), F.lit(0.0)).alias("_scale"))
