@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators.allocation import Limits, allocate, allocation_summary
 from ..operators.bridge import FACTORS, GATES, bridge, fail_summary
+from ..operators.cross import cross_section
 from . import panel as P
 from .queries import oracle_sql, queries, r6, register, s6  # noqa: F401
 
@@ -87,3 +88,21 @@ register(
 register("bridge_fail_reasons", f"{_JUDGED_SQL}, x AS (SELECT event_type, why[1] AS f, unnest(CASE WHEN len(why) = 0 THEN [NULL] ELSE why END) AS reason FROM r) SELECT event_type, reason, count(*) AS candidates, count(*) FILTER (WHERE f IS NOT DISTINCT FROM reason) AS first FROM x GROUP BY 1, 2")(
     lambda spark, d: fail_summary(_judged(spark, d), ["event_type"])
 )
+
+# --- cross-sections ------------------------------------------------------------------------------------------
+
+_CROSS = {"cs_mean": "m", "cs_std": "s", "cs_median": "med", "cs_mad": "mad", "cs_z": "(x - m) / (s + 1e-12)", "cs_rank": "k * 1.0 / n"}
+# a deviation of nothing but rounding would be blown up by the score, so the robust one is compared where the spread is real
+_ROBUST = "CASE WHEN mad > 1e-6 THEN (x - med) / (1.4826 * mad + 1e-12) END"
+
+
+@register(
+    "cross_section_robust",
+    f"""WITH {P.features_sql()}, a AS (SELECT symbol, ts, round(trend, 9) AS x FROM feat WHERE trend IS NOT NULL), g AS (SELECT ts, count(*) AS n, avg(x) AS m, stddev_samp(x) AS s, median(x) AS med FROM a GROUP BY 1 HAVING count(*) >= 3),
+ d AS (SELECT ts, median(abs(x - med)) AS mad FROM a JOIN g USING (ts) GROUP BY 1), r AS (SELECT *, dense_rank() OVER (PARTITION BY ts ORDER BY x) AS k FROM a)
+ SELECT symbol, ts, n, {", ".join(f"{s6(t)} AS {c}" for c, t in _CROSS.items())}, {s6(_ROBUST)} AS cs_robust_z FROM r JOIN g USING (ts) JOIN d USING (ts) WHERE s > 1e-6""",
+)
+def cross_section_robust(spark: SparkSession, d: str) -> DataFrame:
+    """All figures of the cross-section of trends; hours in which all trends are equal have no scores to compare."""
+    out = cross_section(P.features(P.cleaned(spark, d)).select("symbol", "ts", F.round("trend", 9).alias("trend")), ["ts"], "trend").where("cs_std > 1e-6")
+    return out.select("symbol", "ts", "n", *[r6(F.col(c)).alias(c) for c in _CROSS], F.when(F.col("cs_mad") > 1e-6, r6(F.col("cs_robust_z"))).alias("cs_robust_z"))
