@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..operators.allocation import Limits, allocate, allocation_summary
 from ..operators.bridge import FACTORS, GATES, bridge, fail_summary
 from ..operators.cross import cross_section
+from ..operators.regimes import regime_performance, volatility_segments
 from . import panel as P
 from .queries import oracle_sql, queries, r6, register, s6  # noqa: F401
 
@@ -106,3 +107,20 @@ def cross_section_robust(spark: SparkSession, d: str) -> DataFrame:
     """All figures of the cross-section of trends; hours in which all trends are equal have no scores to compare."""
     out = cross_section(P.features(P.cleaned(spark, d)).select("symbol", "ts", F.round("trend", 9).alias("trend")), ["ts"], "trend").where("cs_std > 1e-6")
     return out.select("symbol", "ts", "n", *[r6(F.col(c)).alias(c) for c in _CROSS], F.when(F.col("cs_mad") > 1e-6, r6(F.col("cs_robust_z"))).alias("cs_robust_z"))
+
+# --- profit by regime ------------------------------------------------------------------------------------------
+
+_LABEL = "CASE WHEN round(rv_z, 9) > 0 THEN 'high' WHEN rv_z IS NOT NULL THEN 'low' END"
+_PERFORMANCE = ("total", "mean", "sd", "sharpe", "max_drawdown")
+_SEGMENTS = ("high", "mid", "low", "share_high")
+
+register(
+    "regime_performance",
+    f"""WITH {P.features_sql()}, r AS (SELECT symbol, {_LABEL} AS regime, ts, ret_1 AS x FROM feat WHERE ret_1 IS NOT NULL), c AS (SELECT *, sum(x) OVER w AS cum FROM r WINDOW w AS (PARTITION BY symbol, regime ORDER BY ts ROWS UNBOUNDED PRECEDING)), f AS (SELECT *, max(cum) OVER w - cum AS fall FROM c WINDOW w AS (PARTITION BY symbol, regime ORDER BY ts ROWS UNBOUNDED PRECEDING))
+ SELECT symbol, regime, count(*) AS n, {s6('sum(x)')} AS total, {s6('avg(x)')} AS mean, {s6('stddev_samp(x)')} AS sd, {s6('coalesce(avg(x) / nullif(stddev_samp(x), 0), 0)')} AS sharpe, {s6('max(fall)')} AS max_drawdown FROM f GROUP BY 1, 2""",
+)(lambda spark, d: regime_performance(P.features(P.cleaned(spark, d)).select("symbol", F.expr(_LABEL).alias("regime"), "ts", "ret_1"), ["symbol", "regime"], "ts", "ret_1", 7).select("symbol", "regime", "n", *[r6(F.col(c)).alias(c) for c in _PERFORMANCE]))
+register(
+    "regime_segmentation",
+    f"""WITH {P.features_sql()}, r AS (SELECT symbol, ret_1 AS x, round(rv, 9) AS v FROM feat WHERE ret_1 IS NOT NULL AND rv IS NOT NULL), q AS (SELECT symbol, quantile_cont(v, 0.75) AS hi, quantile_cont(v, 0.25) AS lo FROM r GROUP BY 1)
+ SELECT symbol, {s6('coalesce(avg(x) FILTER (WHERE v >= hi), 0) * 8760')} AS high, {s6('coalesce(avg(x) FILTER (WHERE v > lo AND v < hi), 0) * 8760')} AS mid, {s6('coalesce(avg(x) FILTER (WHERE v <= lo), 0) * 8760')} AS low, {s6('count(*) FILTER (WHERE v >= hi) / count(*)')} AS share_high FROM r JOIN q USING (symbol) GROUP BY 1""",
+)(lambda spark, d: volatility_segments(P.features(P.cleaned(spark, d)).select("symbol", "ret_1", F.round("rv", 9).alias("rv")), ["symbol"], "ret_1", "rv", bars_a_year=8760.0).select("symbol", *[r6(F.col(c)).alias(c) for c in _SEGMENTS]))
