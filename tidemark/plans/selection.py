@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.align import asof_join
-from ..operators.overlap import drop_near_copies
+from ..operators.overlap import drop_near_copies, merged
 from ..operators.ridge import Fit, block_moments, ridge_fit, score, time_blocks
 from . import panel as P
 from .more_features import wide, wide_sql
@@ -23,11 +23,24 @@ _CANDIDATES = f"""c AS (SELECT event_type AS grp, j AS cand, event_id, user_id F
  o AS (SELECT p.grp, u, v, p.n * 1.0 / (x.n + y.n - p.n) AS j FROM p JOIN r x ON x.grp = p.grp AND x.cand = u JOIN r y ON y.grp = p.grp AND y.cand = v WHERE p.n * 1.0 / (x.n + y.n - p.n) > 0.8)"""
 
 
+def floored(value: str) -> Column:
+    """The floors that a value reaches."""
+    return F.filter(F.sequence(F.lit(0), F.lit(FLOORS - 1)), lambda j: F.col(value) >= j * STEP).cast("array<bigint>")
+
+
 def candidate_sets(spark: SparkSession, d: str) -> DataFrame:
-    """(grp, cand, element, user_id): the events of each type at or above each floor."""
-    e = P.table(spark, d, "events").where("event_type is not null")
-    floors = F.filter(F.sequence(F.lit(0), F.lit(FLOORS - 1)), lambda j: F.col("value") >= j * STEP)
-    return e.select(F.col("event_type").alias("grp"), F.explode(floors).alias("cand"), F.col("event_id").alias("element"), "user_id").withColumn("cand", F.col("cand").cast("long"))
+    """(grp, cand, element, weight): the events of each type at or above each floor; events that reach the same floors stand as one."""
+    e = P.table(spark, d, "events").where("event_type is not null and event_id is not null")
+    # of an id's rows the highest reaches the floors of all
+    highest = e.groupBy(F.col("event_type").alias("grp"), F.col("event_id").alias("element")).agg(F.max("value").alias("value"))
+    return merged(highest.select("grp", "element", floored("value").alias("cands")))
+
+
+def candidate_ranks(spark: SparkSession, d: str) -> DataFrame:
+    """(grp, cand, rank), summed over the events of the same floors first."""
+    e = P.table(spark, d, "events").where("event_type is not null").select(F.col("event_type").alias("grp"), floored("value").alias("cands"), "user_id")
+    alike = e.groupBy("grp", "cands").agg(F.sum("user_id").alias("user_id"))
+    return alike.select("grp", F.explode("cands").alias("cand"), "user_id").groupBy("grp", "cand").agg((F.sum("user_id") % 997).alias("rank"))
 
 
 @register(
@@ -40,9 +53,7 @@ def candidate_sets(spark: SparkSession, d: str) -> DataFrame:
 )
 def dedupe_jaccard_greedy(spark: SparkSession, d: str) -> DataFrame:
     """Of the floors of a type the ones kept when, best first, a floor goes whose events are four fifths those of a kept one."""
-    sets = candidate_sets(spark, d)
-    ranked = sets.groupBy("grp", "cand").agg((F.sum("user_id") % 997).alias("rank"))
-    return drop_near_copies(ranked, sets).select("grp", "cand", "kept", "duplicate_of", r6(F.col("overlap")).alias("overlap"))
+    return drop_near_copies(candidate_ranks(spark, d), candidate_sets(spark, d)).select("grp", "cand", "kept", "duplicate_of", r6(F.col("overlap")).alias("overlap"))
 
 
 # --- ridge -----------------------------------------------------------------------------------------------
